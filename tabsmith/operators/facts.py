@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,7 @@ CODE_REGEX = r"^[A-Za-z0-9\-_]+$"
 # they are, so the two kinds of key can never be equal.
 DIGEST_FROM_BYTES = 64
 
-# Columns per job when facts are collected; keeps the plan of a very wide table small.
+# Columns per job when facts are collected on the driver; keeps the plan of a very wide table small.
 COLUMNS_PER_JOB = 32
 
 
@@ -61,6 +61,8 @@ def _facts_of(df: DataFrame, field: T.StructField, position: int) -> DataFrame:
     groups = df.select(*picked).groupBy("v").agg(*per_value)
     present = F.col("v").isNotNull()
     as_double = F.col("v").cast("double")
+    integer = isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    whole = F.col("v").cast("bigint")
     return groups.agg(
         F.lit(field.name).alias("column_name"),
         F.lit(position).alias("position"),
@@ -72,6 +74,9 @@ def _facts_of(df: DataFrame, field: T.StructField, position: int) -> DataFrame:
         F.coalesce(F.max(F.when(present, F.col("n"))), F.lit(0)).cast("bigint").alias("top_n"),
         (F.min(as_double) if number else F.lit(None).cast("double")).alias("min_value"),
         (F.max(as_double) if number else F.lit(None).cast("double")).alias("max_value"),
+        (
+            F.try_subtract(F.max(whole), F.min(whole)) if integer else F.lit(None).cast("bigint")
+        ).alias("value_span"),
         # nothing to contradict it: an all-missing number is integer-like
         (
             F.coalesce(F.bool_and(as_double == F.floor(as_double)), F.lit(True))
@@ -94,16 +99,6 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return union_all(parts)
 
 
-def collect_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, Row]:
-    """Facts on the driver: one row per column, a few columns per job."""
-    names = list(df.columns if columns is None else columns)
-    out: dict[str, Row] = {}
-    for at in range(0, len(names), COLUMNS_PER_JOB):
-        for row in column_facts(df, names[at : at + COLUMNS_PER_JOB]).collect():
-            out[row["column_name"]] = row
-    return {n: out[n] for n in names}
-
-
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, value, n) over the non-missing values of string-like columns."""
     parts = []

@@ -49,7 +49,7 @@ def exact_quantiles(
             elif lo == hi:
                 answers[i, j] = lo
             else:
-                brackets[i, j] = {"pos": q * (n - 1), "lo": lo, "hi": hi, "below": 0, "inside": n}
+                brackets[i, j] = {"pos": q * (n - 1), "lo": lo, "hi": hi, "below": 0, "inside": n, "slack": 2.0}
     exprs = list(doubles.values())
 
     def inside(key):
@@ -65,7 +65,8 @@ def exact_quantiles(
         probes = []
         for k in keys:
             r = rank_in(brackets[k])
-            ends = [max(r - 2.0 / accuracy, 0.0), min(r + 2.0 / accuracy, 1.0)]
+            slack = brackets[k]["slack"] / accuracy
+            ends = [max(r - slack, 0.0), min(r + slack, 1.0)]
             probes.append(F.percentile_approx(inside(k), ends, accuracy))
         guess = df.agg(*[p.alias(f"p{x}") for x, p in enumerate(probes)]).first()
         checks = []
@@ -82,16 +83,16 @@ def exact_quantiles(
             b, (lo, hi) = brackets[k], guess[x]
             below, count = seen[f"below{x}"], seen[f"inside{x}"]
             holds = below <= math.floor(b["pos"]) and math.ceil(b["pos"]) < below + count
-            if not holds or (lo, hi) == (b["lo"], b["hi"]):
-                # the summary could not narrow this one; percentile still answers it exactly
-                wide.discard(k)
+            if not holds:
+                b["slack"] *= 4.0
                 continue
+            stuck = (lo, hi) == (b["lo"], b["hi"])
             b.update(lo=lo, hi=hi, below=below, inside=count)
             if lo == hi:
                 answers[k] = lo
                 del brackets[k]
                 wide.discard(k)
-            elif seen[f"values{x}"] * 1.1 <= buffer_values:
+            elif stuck or seen[f"values{x}"] * 1.1 <= buffer_values:
                 wide.discard(k)
 
     if brackets:
