@@ -14,7 +14,6 @@ from tabsmith.functions.schema import (
     counts_as_number,
     fold_nan,
     numeric_columns,
-    project_features,
     require_column,
 )
 from tabsmith.operators.detect import collect_rules, useless_columns
@@ -91,23 +90,29 @@ def impute_mode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def impute_for_scoring(
-    df: DataFrame, mode: str = "batch", fitted: Mapping[str, float | None] | None = None
+    df: DataFrame,
+    mode: str = "batch",
+    fitted: Mapping[str, float | None] | None = None,
+    columns: Sequence[str] | None = None,
+    prefix: str = "",
 ) -> DataFrame:
     """Scoring-time imputation: median of the batch (or the fitted one), else 0; text ``Unknown``.
 
-    ``fitted`` mode reads no data, which is what a stream needs.
+    ``fitted`` mode reads no data, which is what a stream needs. ``columns`` restricts it to
+    ``prefix + name`` columns, ``fitted`` still using ``name``.
     """
     df = fold_nan(df)
-    numbers = numeric_columns(df)
+    chosen = set(df.columns) if columns is None else {prefix + c for c in columns}
+    numbers = [c for c in numeric_columns(df) if c in chosen]
     if mode == "batch":
         names = columns_with_missing(df, numbers)
         values = {c: 0.0 if v is None else v for c, v in medians(df, names).items()}
     elif mode == "fitted":
-        known = fitted or {}
+        known = {prefix + c: v for c, v in (fitted or {}).items()}
         values = {c: 0.0 if known.get(c) is None else known[c] for c in numbers}
     else:
         raise ValueError(f"unknown imputation mode '{mode}'")
-    values.update({c: UNKNOWN for c in categorical_columns(df)})
+    values.update({c: UNKNOWN for c in categorical_columns(df) if c in chosen})
     return fill(df, values)
 
 
@@ -135,22 +140,22 @@ def encode(
     codes: DataFrame,
     columns: Sequence[str],
     sizes: Mapping[str, tuple[int, int]] | None = None,
-    suffix: str = "",
+    prefix: str = "",
     streaming: bool = False,
 ) -> DataFrame:
     """Replace each column by its code, -1 for a value the dictionary does not hold.
 
-    With ``suffix`` the code is added beside the original column instead.
+    With ``prefix`` the columns encoded are ``prefix + name``, the dictionary still using ``name``.
     """
     if sizes is None:
         sizes = dictionary_sizes(codes)
     out = df
     for c in columns:
         one = codes.where(F.col("column_name") == c).select("value", F.col("code").alias("__code"))
-        out = lookup(out, one, _q(c).cast("string"), "value", "__code", sizes.get(c, (0, 0)), streaming)
-        out = out.withColumn(c + suffix, F.coalesce("__code", F.lit(UNSEEN_CODE))).drop("__code")
-    order = list(df.columns) + [c + suffix for c in columns if suffix]
-    return out.select(*[_q(c) for c in order])
+        name = prefix + c
+        out = lookup(out, one, _q(name).cast("string"), "value", "__code", sizes.get(c, (0, 0)), streaming)
+        out = out.withColumn(name, F.coalesce("__code", F.lit(UNSEEN_CODE))).drop("__code")
+    return out.select(*[_q(c) for c in df.columns])
 
 
 def dictionary_sizes(codes: DataFrame) -> dict[str, tuple[int, int]]:
@@ -249,9 +254,12 @@ def preprocess(
     mapping = None
     if kind == "classification" and not counts_as_number(types[target]):
         out, mapping = encode_target(out, target)
+    target_holed = rules[target]["non_null"] < rules[target]["row_count"]
     out = out.select(*[_q(c) for c in features], _q(target), F.col(SPLIT_COLUMN))
     return Prepared(
-        df=out, target=target, problem_type=kind, class_count=rules[target]["distinct_count"],
+        df=out, target=target, problem_type=kind,
+        # a missing text target is a class of its own
+        class_count=rules[target]["distinct_count"] + (1 if mapping is not None and target_holed else 0),
         row_count=rules[target]["row_count"], feature_columns=features, numeric_columns=numbers,
         categorical_columns=texts, dropped=dropped, medians=middle, dictionary=codes,
         target_mapping=mapping, raw=df, sizes=sizes,
@@ -289,19 +297,3 @@ def feature_metadata(prepared: Prepared) -> DataFrame:
 
 
 MAP_ENTRIES = 10_000
-
-
-def prepare_features(
-    df: DataFrame,
-    feature_columns: Sequence[str],
-    codes: DataFrame | None,
-    text_columns: Sequence[str],
-    imputation: str = "batch",
-    fitted: Mapping[str, float | None] | None = None,
-    sizes: Mapping[str, tuple[int, int]] | None = None,
-) -> DataFrame:
-    """Check, project, impute and encode a scoring table: features only, in fitted order."""
-    x = impute_for_scoring(project_features(df, feature_columns), imputation, fitted)
-    if codes is None:
-        return x
-    return encode(x, codes, text_columns, sizes, streaming=df.isStreaming)
