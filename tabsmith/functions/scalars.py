@@ -53,7 +53,7 @@ def bar_width(pct: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """The number a text holds, or NULL."""
-    return F.try_cast(F.trim(text), "double") if hasattr(F, "try_cast") else F.trim(text).try_cast("double")
+    return F.trim(text).try_cast("double")
 
 
 def integer_violation(text: Column) -> Column:

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from tabsmith.plans import detection, modelling, preparation, profiling  # noqa: F401
+from tabsmith.plans import detection, history, modelling, preparation, profiling  # noqa: F401
