@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A dictionary is broadcast only when its entries and key bytes are proven to be below these.
 BROADCAST_ENTRIES = 200_000
@@ -63,7 +62,10 @@ def lookup(
         # a stream is joined to the static side batch by batch; adaptive execution handles skew there
         return left.join(right, F.col(probe) == F.col(entry), "left").drop(probe, entry)
     hot = hot_keys(df, key)
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int")
+    # by row content and input partition: a repeated task gives every row the same salt again, and
+    # even rows that are equal throughout are spread
+    content = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *content), F.lit(salts)).cast("int")
     is_hot = F.col(probe).isNull() | (F.col(probe).isin(hot) if hot else F.lit(False))
     left = left.withColumn("__salt", F.when(is_hot, spread).otherwise(F.lit(0)))
     copies = F.when(
@@ -74,7 +76,3 @@ def lookup(
         right, (F.col(probe) == F.col(entry)) & (F.col("__salt") == F.col("__entry_salt")), "left"
     )
     return joined.drop(probe, entry, "__salt", "__entry_salt")
-
-
-def keep_order(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in columns])

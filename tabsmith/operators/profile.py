@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.functions.schema import badge, categorical_columns, coarse_type, numeric_columns
-from tabsmith.operators.facts import column_facts, union_all
+from tabsmith.operators.facts import column_facts, counting_key, union_all
 from tabsmith.operators.quantiles import exact_quantiles
 
 # Thresholds and sizes of the exploratory report.
@@ -24,7 +25,7 @@ FEATURE_BINS = 15
 BAR_PIXELS = 40
 
 # Pairs of columns whose correlation is computed in one aggregate.
-PAIRS_PER_JOB = 200
+PAIRS_PER_JOB = 64
 
 
 def _q(name: str) -> Column:
@@ -141,46 +142,46 @@ def dataset_overview(df: DataFrame, target: str, problem_type: str) -> DataFrame
 # --- numbers ----------------------------------------------------------------------------------
 
 
-def numeric_summary(
-    df: DataFrame, columns: Sequence[str] | None = None, target: str | None = None
-) -> DataFrame:
-    """Mean, sample deviation, min, exact median, max per numeric column other than the target."""
-    names = [c for c in (numeric_columns(df) if columns is None else columns) if c != target]
-    medians = exact_quantiles(df, names, [0.5])
-    aggs, rows = [], []
-    for i, name in enumerate(names):
+def _moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
+    """(count, min, max, mean, sample deviation) per column; one aggregate, one row back."""
+    aggs = []
+    for i, name in enumerate(columns):
         c = as_double(name)
         aggs += [
+            F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
             F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"s{i}"),
-            F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
         ]
-        rows.append([
-            F.lit(name), F.col(f"a{i}"), F.col(f"s{i}"), F.col(f"lo{i}"),
-            F.lit(medians[name][0]).cast("double"), F.col(f"hi{i}"),
-        ])
-    names_out = ["column_name", "mean", "std", "min", "median", "max"]
-    return melt(df.agg(*aggs), rows, names_out)
+    row = df.agg(*aggs).first()
+    return {c: tuple(row[f"{p}{i}"] for p in ("n", "lo", "hi", "a", "s")) for i, c in enumerate(columns)}
+
+
+def numeric_summary(
+    df: DataFrame, columns: Sequence[str] | None = None, target: str | None = None
+) -> DataFrame:
+    """Mean, sample deviation, min, exact median, max per numeric column other than the target.
+
+    The answers are six numbers per column, so they are computed here and returned as a small table.
+    """
+    names = [c for c in (numeric_columns(df) if columns is None else columns) if c != target]
+    facts = _moments(df, names)
+    medians = exact_quantiles(df, names, [0.5], {c: f[:3] for c, f in facts.items()})
+    rows = [(c, facts[c][3], facts[c][4], facts[c][1], medians[c][0], facts[c][2]) for c in names]
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, mean double, std double, min double, median double, max double"
+    )
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, std, min, quartiles (linear interpolation, exact) and max per column."""
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
-    aggs, rows = [], []
-    for i, name in enumerate(columns):
-        c = as_double(name)
-        aggs += [
-            F.count(c).alias(f"n{i}"), F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"s{i}"),
-            F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
-        ]
-        rows.append(
-            [F.lit(name)]
-            + [F.col(f"{p}{i}") for p in ("n", "a", "s", "lo")]
-            + [F.lit(v).cast("double") for v in quartiles[name]]
-            + [F.col(f"hi{i}")]
-        )
-    return melt(
-        df.agg(*aggs), rows,
-        ["column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"],
+    facts = _moments(df, columns)
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], {c: f[:3] for c, f in facts.items()})
+    rows = [
+        (c, facts[c][0], facts[c][3], facts[c][4], facts[c][1], *quartiles[c], facts[c][2]) for c in columns
+    ]
+    return df.sparkSession.createDataFrame(
+        rows,
+        "column_name string, count bigint, mean double, std double, min double, p25 double, p50 double, "
+        "p75 double, max double",
     )
 
 
@@ -226,15 +227,15 @@ def bin_index(v: Column, lo: float, hi: float, bins: int) -> Column:
 def histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
     """Equal-width histogram of each column, empty bins included, with the bar height in pixels.
 
-    Two passes: the ranges (two numbers per column), then one count per (column, bin) that is
-    pre-aggregated in every task.
+    Two passes: the ranges (two numbers per column), then per column a count by bin. A branch reads
+    only its own column and sends at most ``bins`` rows per task.
     """
     spark = df.sparkSession
     ends = df.agg(
         *[F.min(as_double(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
         *[F.max(as_double(c)).alias(f"hi{i}") for i, c in enumerate(columns)],
     ).first()
-    grid, pairs = [], []
+    grid, parts = [], []
     for i, name in enumerate(columns):
         lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
         if lo is None:
@@ -246,20 +247,18 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
             (name, b + 1, lo + b * step, hi if b + 1 == bins else lo + (b + 1) * step)
             for b in range(bins)
         ]
-        pairs.append(
-            F.struct(F.lit(name).alias("column_name"), bin_index(as_double(name), lo, hi, bins).alias("bin"))
+        parts.append(
+            df.where(as_double(name).isNotNull())
+            .groupBy(bin_index(as_double(name), lo, hi, bins).alias("bin"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(F.lit(name).alias("column_name"), "bin", "n")
         )
     grid_df = spark.createDataFrame(
         grid, "column_name string, bin int, lower_edge double, upper_edge double"
     )
-    if not pairs:
+    if not parts:
         return grid_df.withColumns({"n": F.lit(0).cast("bigint"), "bar_height": F.lit(2)})
-    counts = (
-        df.select(F.explode(F.array(*pairs)).alias("r"))
-        .where("r.bin IS NOT NULL")
-        .groupBy(F.col("r.column_name").alias("column_name"), F.col("r.bin").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = union_all(parts)
     tallest = counts.groupBy("column_name").agg(F.max("n").alias("top"))
     n = F.coalesce("n", F.lit(0))
     return (
@@ -272,23 +271,66 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
     )
 
 
-def _paired_corr(x: Column, y: Column) -> Column:
-    """Pearson over rows where both are present; NULL (not an error) when either is constant."""
-    both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.covar_pop(x, y) / F.when(spread > 0, spread)
-
-
 def _corr_long(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    parts = []
-    for at in range(0, len(pairs), PAIRS_PER_JOB):
-        chunk = pairs[at : at + PAIRS_PER_JOB]
-        aggs = [
-            _paired_corr(as_double(a), as_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(chunk)
-        ]
-        rows = [[F.lit(a), F.lit(b), F.col(f"r{i}")] for i, (a, b) in enumerate(chunk)]
-        parts.append(melt(df.agg(*aggs), rows, ["left_column", "right_column", "correlation"]))
-    return union_all(parts)
+    """Pearson over rows where both columns are present; NULL (not an error) when either is constant.
+
+    First pass: count, mean and range per column. Second pass: plain sums of values shifted by their
+    mean, which keeps them well conditioned and cheap to update. Columns without missing values share
+    their own two sums between all pairs; only pairs with a gap need sums of their own.
+    """
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    rows = F.count(F.lit(1)).alias("rows")
+    first = df.agg(rows, *[
+        e for i, c in enumerate(names) for e in (
+            F.count(as_double(c)).alias(f"n{i}"), F.avg(as_double(c)).alias(f"m{i}"),
+            F.min(as_double(c)).alias(f"lo{i}"), F.max(as_double(c)).alias(f"hi{i}"),
+        )
+    ]).first()
+    at = {c: i for i, c in enumerate(names)}
+    full = {c for c in names if first[f"n{at[c]}"] == first["rows"]}
+    varied = {c for c in names if first[f"n{at[c]}"] > 0 and first[f"lo{at[c]}"] < first[f"hi{at[c]}"]}
+    shifted = df.select(*[
+        (as_double(c) - F.lit(first[f"m{at[c]}"] or 0.0)).alias(f"x{at[c]}") for c in names
+    ])
+    values: dict[tuple[str, str], float | None] = {p: None for p in pairs}
+    open_pairs = [p for p in pairs if p[0] in varied and p[1] in varied]
+    for start in range(0, len(open_pairs), PAIRS_PER_JOB):
+        chunk = open_pairs[start : start + PAIRS_PER_JOB]
+        aggs: dict[str, Column] = {}
+        for a, b in chunk:
+            i, j = at[a], at[b]
+            x, y = F.col(f"x{i}"), F.col(f"x{j}")
+            if a in full and b in full:
+                for k, v in ((i, x), (j, y)):
+                    aggs[f"s{k}"], aggs[f"q{k}"] = F.sum(v), F.sum(v * v)
+                aggs[f"p{i}_{j}"] = F.sum(x * y)
+                continue
+            both = x.isNotNull() & y.isNotNull()
+            xs, ys = F.when(both, x), F.when(both, y)
+            aggs |= {
+                f"n{i}_{j}": F.count(xs), f"p{i}_{j}": F.sum(x * y),
+                f"sx{i}_{j}": F.sum(xs), f"qx{i}_{j}": F.sum(xs * xs),
+                f"sy{i}_{j}": F.sum(ys), f"qy{i}_{j}": F.sum(ys * ys),
+                f"cx{i}_{j}": F.min(xs) < F.max(xs), f"cy{i}_{j}": F.min(ys) < F.max(ys),
+            }
+        row = shifted.agg(*[e.alias(n) for n, e in aggs.items()]).first()
+        for a, b in chunk:
+            i, j = at[a], at[b]
+            if a in full and b in full:
+                n, sx, qx, sy, qy = first["rows"], row[f"s{i}"], row[f"q{i}"], row[f"s{j}"], row[f"q{j}"]
+            else:
+                n = row[f"n{i}_{j}"]
+                if not n or not row[f"cx{i}_{j}"] or not row[f"cy{i}_{j}"]:
+                    continue
+                sx, qx, sy, qy = (row[f"{k}{i}_{j}"] for k in ("sx", "qx", "sy", "qy"))
+            spread = math.sqrt(max(qx - sx * sx / n, 0.0)) * math.sqrt(max(qy - sy * sy / n, 0.0))
+            if spread > 0:
+                r = (row[f"p{i}_{j}"] - sx * sy / n) / spread
+                values[a, b] = max(-1.0, min(1.0, r))
+    return df.sparkSession.createDataFrame(
+        [(a, b, v) for (a, b), v in values.items()],
+        "left_column string, right_column string, correlation double",
+    )
 
 
 def corr_strength(r: Column) -> Column:
@@ -375,10 +417,12 @@ def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None) ->
     total = row_total(df)
     parts = []
     for name in names:
+        # long texts are counted by their digest; the shown prefix is all of the text that travels,
+        # and ordering equal counts by it shows the same rows as ordering by the whole text
         groups = (
             df.where(_q(name).isNotNull())
-            .groupBy(_q(name).alias("value"))
-            .agg(F.count(F.lit(1)).alias("n"))
+            .groupBy(counting_key(name, df.schema[name].dataType).alias("k"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min(F.substring(_q(name), 1, VALUE_CHARS)).alias("value"))
         )
         distinct = groups.agg(F.count(F.lit(1)).alias("d")).scalar()
         parts.append(
@@ -386,7 +430,7 @@ def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None) ->
             .limit(TOP_VALUES)
             .select(
                 F.lit(name).alias("column_name"),
-                F.substring("value", 1, VALUE_CHARS).alias("value"),
+                "value",
                 "n",
                 F.round(F.col("n") / total * 100, 4).alias("pct"),
                 distinct.alias("unique_count"),

@@ -1,109 +1,143 @@
 """Exact quantiles whose buffers stay bounded.
 
-``percentile`` keeps every distinct value of a column in one buffer. That is fine up to
-``BUFFER_VALUES``; beyond it the wanted rank is first bracketed between two data values taken from
-``percentile_approx`` (rank error at most rows / accuracy), the bracket is checked by counting, and
-only the rows inside it reach ``percentile``. Ties inside a bracket cost nothing, because the buffer
-holds distinct values. Each round is one aggregate over the needed columns, for all of them at once.
+``percentile`` keeps every distinct value of a column in one buffer, which no task can hold for a
+continuous column of a large table. Here the wanted rank is located first: the value range is cut
+into ``BINS`` equal bins, the bins are counted (pre-aggregated in every task, at most ``BINS`` rows per
+column come back) and only the one or two bins holding the rank are looked into. A bin with more than
+``BUFFER_VALUES`` rows is cut again, so skewed and heavy-tailed columns take more rounds, not more
+memory; a value repeated any number of times ends up alone in its bin.
+
+Each round reads only the columns still open.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsmith.operators.facts import union_all
+
 BUFFER_VALUES = 200_000
-ACCURACY = 10_000
+BINS = 2048
+# infinities are counted as the largest finite double
+LARGEST = 1.7976931348623157e308
+
+
+def _double(name: str) -> Column:
+    c = F.col(f"`{name}`").cast("double")
+    # greatest and least pass over NULL, so missing values are kept out first
+    finite = F.greatest(F.least(c, F.lit(LARGEST)), F.lit(-LARGEST))
+    return F.when(c.isNotNull() & ~F.isnan(c), finite)
+
+
+def _bin(v: Column, lo: float, hi: float, bins: int) -> Column:
+    """Bin of ``v`` within [lo, hi], never falling as ``v`` rises; halves keep the width finite."""
+    factor = bins / (hi * 0.5 - lo * 0.5)
+    return F.least(F.floor((v * 0.5 - F.lit(lo * 0.5)) * F.lit(factor)), F.lit(bins - 1)).cast("int")
+
+
+def ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, float | None, float | None]]:
+    """(count, min, max) per column; one aggregate."""
+    row = df.agg(*[
+        e for i, c in enumerate(columns) for e in (
+            F.count(_double(c)).alias(f"n{i}"), F.min(_double(c)).alias(f"lo{i}"), F.max(_double(c)).alias(f"hi{i}"),
+        )
+    ]).first()
+    return {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
+
+
+def _clamp(v: float) -> float:
+    return max(min(v, LARGEST), -LARGEST)
+
+
+def _restore(v: float) -> float:
+    return math.copysign(math.inf, v) if abs(v) == LARGEST else v
 
 
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
+    known: Mapping[str, tuple[int, float | None, float | None]] | None = None,
     buffer_values: int = BUFFER_VALUES,
-    accuracy: int = ACCURACY,
+    bins: int = BINS,
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles per column; ``None`` where a column has no value."""
+    """Linear-interpolated quantiles per column; ``None`` where a column has no value.
+
+    ``known`` = (count, min, max) per column when the caller has them already.
+    """
     if not columns:
         return {}
-    doubles = {}
+    spans = ranges(df, columns) if known is None else known
+    answers: dict[tuple[str, int], float | None] = {}
+    # an open question: rank position within the values of [lo, hi], and how many those are
+    todo: dict[tuple[str, int], tuple[float, float, float, int]] = {}
     for name in columns:
-        c = F.col(f"`{name}`").cast("double")
-        doubles[name] = F.when(~F.isnan(c), c)
-    first = df.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(doubles.values())],
-        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(doubles.values())],
-        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(doubles.values())],
-    ).first()
-
-    answers: dict[tuple[int, int], float | None] = {}
-    brackets: dict[tuple[int, int], dict] = {}
-    for i in range(len(columns)):
-        n, lo, hi = first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"]
+        n, lo, hi = spans[name]
         for j, q in enumerate(probabilities):
             if n == 0:
-                answers[i, j] = None
+                answers[name, j] = None
             elif lo == hi:
-                answers[i, j] = lo
+                answers[name, j] = lo
             else:
-                brackets[i, j] = {"pos": q * (n - 1), "lo": lo, "hi": hi, "below": 0, "inside": n, "slack": 2.0}
-    exprs = list(doubles.values())
-
-    def inside(key):
-        c, b = exprs[key[0]], brackets[key]
-        return F.when((c >= b["lo"]) & (c <= b["hi"]), c)
-
-    def rank_in(b):
-        return min(max((b["pos"] - b["below"]) / (b["inside"] - 1), 0.0), 1.0)
-
-    wide = {k for k, b in brackets.items() if b["inside"] > buffer_values}
-    while wide:
-        keys = sorted(wide)
-        probes = []
-        for k in keys:
-            r = rank_in(brackets[k])
-            slack = brackets[k]["slack"] / accuracy
-            ends = [max(r - slack, 0.0), min(r + slack, 1.0)]
-            probes.append(F.percentile_approx(inside(k), ends, accuracy))
-        guess = df.agg(*[p.alias(f"p{x}") for x, p in enumerate(probes)]).first()
-        checks = []
+                todo[name, j] = (q * (n - 1), _clamp(lo), _clamp(hi), n)
+
+    while todo:
+        # small enough already: straight to percentile
+        place: dict[tuple[str, int], tuple[Column, float, int]] = {}
+        brackets = sorted({(k[0], lo, hi) for k, (_, lo, hi, n) in todo.items() if n > buffer_values})
+        counted: dict[tuple, list[tuple[int, int]]] = {}
+        if brackets:
+            parts = []
+            for x, (name, lo, hi) in enumerate(brackets):
+                v = _double(name)
+                parts.append(
+                    df.where((v >= lo) & (v <= hi)).groupBy(_bin(v, lo, hi, bins).alias("bin"))
+                    .agg(F.count(F.lit(1)).alias("n")).select(F.lit(x).alias("x"), "bin", "n")
+                )
+            for r in union_all(parts).collect():
+                counted.setdefault(brackets[r["x"]], []).append((r["bin"], r["n"]))
+        for key, (pos, lo, hi, n) in todo.items():
+            v = _double(key[0])
+            if n <= buffer_values:
+                place[key] = (F.when((v >= lo) & (v <= hi), v), pos, n)
+                continue
+            below, first, last, inside, before = 0, None, None, 0, 0
+            for b, count in sorted(counted[key[0], lo, hi]):
+                if first is None and math.floor(pos) < below + count:
+                    first, before = b, below
+                if first is not None:
+                    last, inside = b, inside + count
+                    if math.ceil(pos) < below + count:
+                        break
+                below += count
+            spot = _bin(v, lo, hi, bins)
+            hit = (v >= lo) & (v <= hi) & (spot >= first) & (spot <= last)
+            place[key] = (F.when(hit, v), pos - before, inside)
+        keys = list(place)
+        exprs = []
         for x, k in enumerate(keys):
-            c, (lo, hi) = exprs[k[0]], guess[x]
-            hit = (c >= lo) & (c <= hi)
-            checks += [
-                F.count_if(c < lo).alias(f"below{x}"),
-                F.count_if(hit).alias(f"inside{x}"),
-                F.approx_count_distinct(F.when(hit, c), 0.02).alias(f"values{x}"),
-            ]
-        seen = df.agg(*checks).first()
+            values, pos, n = place[k]
+            exprs += [F.min(values).alias(f"lo{x}"), F.max(values).alias(f"hi{x}")]
+            if n <= buffer_values:
+                at = min(max(pos / (n - 1), 0.0), 1.0) if n > 1 else 0.0
+                exprs.append(F.percentile(values, F.lit(at)).alias(f"q{x}"))
+        row = df.agg(*exprs).first()
+        left = {}
         for x, k in enumerate(keys):
-            b, (lo, hi) = brackets[k], guess[x]
-            below, count = seen[f"below{x}"], seen[f"inside{x}"]
-            holds = below <= math.floor(b["pos"]) and math.ceil(b["pos"]) < below + count
-            if not holds:
-                b["slack"] *= 4.0
-                continue
-            stuck = (lo, hi) == (b["lo"], b["hi"])
-            b.update(lo=lo, hi=hi, below=below, inside=count)
-            if lo == hi:
+            _, pos, n = place[k]
+            lo, hi = row[f"lo{x}"], row[f"hi{x}"]
+            if n <= buffer_values:
+                answers[k] = row[f"q{x}"]
+            elif lo == hi:
                 answers[k] = lo
-                del brackets[k]
-                wide.discard(k)
-            elif stuck or seen[f"values{x}"] * 1.1 <= buffer_values:
-                wide.discard(k)
-
-    if brackets:
-        keys = sorted(brackets)
-        last = df.agg(
-            *[
-                F.percentile(inside(k), F.lit(rank_in(brackets[k]))).alias(f"q{x}")
-                for x, k in enumerate(keys)
-            ]
-        ).first()
-        answers.update({k: last[f"q{x}"] for x, k in enumerate(keys)})
+            else:
+                left[k] = (pos, lo, hi, n)
+        todo = left
     return {
-        name: [answers[i, j] for j in range(len(probabilities))] for i, name in enumerate(columns)
+        name: [None if answers[name, j] is None else _restore(answers[name, j]) for j in range(len(probabilities))]
+        for name in columns
     }

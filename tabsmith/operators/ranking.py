@@ -16,7 +16,8 @@ from tabsmith.session import cut_lineage
 WINDOW_ROWS = 1_000_000
 MAX_SPLITS = 1_000
 SAMPLE_PER_SPLIT = 20
-PREFIX_CHARS = 64
+# split points compare on this much of a value; longer common beginnings only make buckets uneven
+PREFIX_CHARS = 512
 
 
 def rank_distinct(

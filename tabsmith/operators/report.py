@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.functions.scalars import accuracy_band, r2_band
 from tabsmith.functions.schema import badge, categorical_columns, coarse_type, numeric_columns
 from tabsmith.operators import profile
 from tabsmith.operators.detect import collect_rules, eda_exclusions
-from tabsmith.operators.facts import column_facts, union_all
+from tabsmith.operators.facts import union_all
 
 Cell = tuple[str, Column, Column]
 
@@ -41,14 +41,26 @@ def _missing_pct() -> Column:
     return F.when(rows > 0, (rows - F.col("non_null")) / rows * 100).otherwise(F.lit(0.0))
 
 
+def facts_table(spark: SparkSession, rules: Mapping[str, Row]) -> DataFrame:
+    """Collected facts as a table again."""
+    fields = [
+        "column_name string", "position int", "data_type string", "column_type string", "row_count bigint",
+        "non_null bigint", "distinct_count bigint", "top_n bigint", "min_value double", "max_value double",
+        "value_span bigint", "integer_like boolean", "code_rows bigint", "max_bytes bigint",
+    ]
+    names = [f.split()[0] for f in fields]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rules.values()], ", ".join(fields))
+
+
 def eda_report(df: DataFrame, target: str) -> DataFrame:
     """Overview, target analysis, notes, correlation, columns, categories and numbers.
 
-    The problem type of the target (one row) decides which sections exist, so it is fetched first;
-    the sections themselves stay lazy.
+    Column facts are collected once (one row per column): they decide which sections exist and feed
+    three of them as a small table.
     """
-    kind = collect_rules(df, [target])[target]["problem_type"]
-    facts = column_facts(df)
+    rules = collect_rules(df)
+    kind = rules[target]["problem_type"]
+    facts = facts_table(df.sparkSession, rules)
     item = F.col("column_name")
     numbers = {f.name for f in df.schema.fields if badge(f.dataType) == "numeric"}
     badges = F.when(item.isin(list(numbers)), "numeric").otherwise("categorical") if numbers else F.lit("categorical")
@@ -103,7 +115,7 @@ def eda_report(df: DataFrame, target: str) -> DataFrame:
 
 def eda_minimal(df: DataFrame) -> DataFrame:
     """Fallback report: shape, type / missing / distinct per column, describe of the numbers."""
-    facts = column_facts(df)
+    facts = facts_table(df.sparkSession, collect_rules(df))
     item = F.col("column_name")
     parts = [
         _cells(df.agg(F.count(F.lit(1)).alias("n")), "shape", F.lit("dataset"),
