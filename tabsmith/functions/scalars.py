@@ -48,7 +48,7 @@ def placeholder(lo: Column, hi: Column) -> Column:
 
 
 def bar_width(pct: Column) -> Column:
-    return F.least(pct, F.lit(100.0))
+    return F.when(pct.isNotNull(), F.least(pct, F.lit(100.0)))
 
 
 def to_number(text: Column) -> Column:

@@ -145,13 +145,14 @@ def dataset_overview(df: DataFrame, target: str, problem_type: str) -> DataFrame
 def _moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
     """(count, min, max, mean, sample deviation) per column; one aggregate, one row back."""
     aggs = []
-    for i, name in enumerate(columns):
-        c = as_double(name)
+    for i in range(len(columns)):
+        c = F.col(f"c{i}")
         aggs += [
             F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
             F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"s{i}"),
         ]
-    row = df.agg(*aggs).first()
+    # cleaned once per row, not once per aggregate
+    row = df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(columns)]).agg(*aggs).first()
     return {c: tuple(row[f"{p}{i}"] for p in ("n", "lo", "hi", "a", "s")) for i, c in enumerate(columns)}
 
 
@@ -280,17 +281,18 @@ def _corr_long(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """
     names = list(dict.fromkeys(c for p in pairs for c in p))
     rows = F.count(F.lit(1)).alias("rows")
-    first = df.agg(rows, *[
-        e for i, c in enumerate(names) for e in (
-            F.count(as_double(c)).alias(f"n{i}"), F.avg(as_double(c)).alias(f"m{i}"),
-            F.min(as_double(c)).alias(f"lo{i}"), F.max(as_double(c)).alias(f"hi{i}"),
+    clean = df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(names)])
+    first = clean.agg(rows, *[
+        e for i in range(len(names)) for e in (
+            F.count(f"c{i}").alias(f"n{i}"), F.avg(f"c{i}").alias(f"m{i}"),
+            F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"),
         )
     ]).first()
     at = {c: i for i, c in enumerate(names)}
     full = {c for c in names if first[f"n{at[c]}"] == first["rows"]}
     varied = {c for c in names if first[f"n{at[c]}"] > 0 and first[f"lo{at[c]}"] < first[f"hi{at[c]}"]}
-    shifted = df.select(*[
-        (as_double(c) - F.lit(first[f"m{at[c]}"] or 0.0)).alias(f"x{at[c]}") for c in names
+    shifted = clean.select(*[
+        (F.col(f"c{i}") - F.lit(first[f"m{i}"] or 0.0)).alias(f"x{i}") for i in range(len(names))
     ])
     values: dict[tuple[str, str], float | None] = {p: None for p in pairs}
     open_pairs = [p for p in pairs if p[0] in varied and p[1] in varied]

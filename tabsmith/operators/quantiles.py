@@ -87,7 +87,7 @@ def exact_quantiles(
 
     while todo:
         # small enough already: straight to percentile
-        place: dict[tuple[str, int], tuple[Column, float, int]] = {}
+        place: dict[tuple[str, int], tuple[Column, Column, float, int]] = {}
         brackets = sorted({(k[0], lo, hi) for k, (_, lo, hi, n) in todo.items() if n > buffer_values})
         counted: dict[tuple, list[tuple[int, int]]] = {}
         if brackets:
@@ -103,7 +103,7 @@ def exact_quantiles(
         for key, (pos, lo, hi, n) in todo.items():
             v = _double(key[0])
             if n <= buffer_values:
-                place[key] = (F.when((v >= lo) & (v <= hi), v), pos, n)
+                place[key] = ((v >= lo) & (v <= hi), v, pos, n)
                 continue
             below, first, last, inside, before = 0, None, None, 0, 0
             for b, count in sorted(counted[key[0], lo, hi]):
@@ -116,22 +116,26 @@ def exact_quantiles(
                 below += count
             spot = _bin(v, lo, hi, bins)
             hit = (v >= lo) & (v <= hi) & (spot >= first) & (spot <= last)
-            place[key] = (F.when(hit, v), pos - before, inside)
+            place[key] = (hit, v, pos - before, inside)
+        # one branch per question: the filter is compiled and only the rows of its bins reach the
+        # aggregate
         keys = list(place)
-        exprs = []
+        parts = []
         for x, k in enumerate(keys):
-            values, pos, n = place[k]
-            exprs += [F.min(values).alias(f"lo{x}"), F.max(values).alias(f"hi{x}")]
-            if n <= buffer_values:
-                at = min(max(pos / (n - 1), 0.0), 1.0) if n > 1 else 0.0
-                exprs.append(F.percentile(values, F.lit(at)).alias(f"q{x}"))
-        row = df.agg(*exprs).first()
+            inside, v, pos, n = place[k]
+            at = min(max(pos / (n - 1), 0.0), 1.0) if n > 1 else 0.0
+            answer = F.percentile("v", F.lit(at)) if n <= buffer_values else F.lit(None).cast("double")
+            parts.append(
+                df.where(inside).select(v.alias("v"))
+                .agg(F.lit(x).alias("x"), F.min("v").alias("lo"), F.max("v").alias("hi"), answer.alias("q"))
+            )
+        found = {keys[r["x"]]: r for r in union_all(parts).collect()}
         left = {}
-        for x, k in enumerate(keys):
-            _, pos, n = place[k]
-            lo, hi = row[f"lo{x}"], row[f"hi{x}"]
+        for k in keys:
+            _, _, pos, n = place[k]
+            lo, hi = found[k]["lo"], found[k]["hi"]
             if n <= buffer_values:
-                answers[k] = row[f"q{x}"]
+                answers[k] = found[k]["q"]
             elif lo == hi:
                 answers[k] = lo
             else:

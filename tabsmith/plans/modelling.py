@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.operators import metrics, models, prepare, scoring
+from tabsmith.operators import ledger, metrics, models, prepare, scoring
+from tabsmith.operators.job import JobPaths, status_events, training_job
 from tabsmith.operators.report import training_report as build_report
-from tabsmith.plans.catalog import load, query
+from tabsmith.plans.catalog import TABLES, facts_sql, load, query
 from tabsmith.plans.preparation import (
     LINEITEM_KEYS, _dict_sql, _mode_sql,
 )
@@ -97,6 +98,28 @@ def training_report(spark, sf_dir):
     )
 
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job on lineitem: explore, prepare, search, evaluate, save; returns its report."""
+    root = scratch_path(spark, "workspace")
+    families = models.candidates("classification", 3)[:2]
+    run = training_job(load(spark, sf_dir, "lineitem"), "l_returnflag", LINEITEM_KEYS, root, 60, families=families)
+    return spark.read.parquet(JobPaths(root).artifact(run.job_id, "training"))
+
+
+@query("training_job")
+def training_job_query(spark, sf_dir):
+    """Status of a finished and of a failed job over the whole orders table, folded from their events."""
+    root = scratch_path(spark, "workspace")
+    df = holed_orders(spark, sf_dir)
+    families = models.candidates("classification", 3)[:1]
+    training_job(df, "o_orderstatus", ["o_orderkey"], root, 60, families=families, job_id="good")
+    try:
+        training_job(df, "no_such_column", ["o_orderkey"], root, 60, families=families, job_id="bad")
+    except ValueError:
+        pass
+    return ledger.apply_status(status_events(spark, JobPaths(root)))
+
+
 @query("complete_run")
 def complete_run_query(spark, sf_dir):
     run = trained(spark, sf_dir, "cls")
@@ -151,7 +174,7 @@ def predict_sink_roundtrip(spark, sf_dir):
     return read_table(spark, path, scored.schema)
 
 
-@query("package_roundtrip")
+@query("package_roundtrip", "SELECT COUNT(*) AS row_count, 0::BIGINT AS changed FROM lineitem")
 def package_roundtrip(spark, sf_dir):
     """Rows whose prediction changed by saving and loading, out of all rows."""
     run = trained(spark, sf_dir, "cls")
@@ -252,11 +275,24 @@ def discover_files(spark, sf_dir):
     return discover(spark, path).select("path", "length")
 
 
-@query("dataset_record")
+@query("dataset_record", f"""
+WITH facts AS ({facts_sql('orders', TABLES['orders'])})
+SELECT 'orders' AS dataset_id, 'orders.parquet' AS filename, row_count, position, column_name, column_type,
+       distinct_count AS unique_count, row_count - non_null AS missing,
+       ROUND((row_count - non_null)::DOUBLE / row_count * 100, 2) AS missing_pct FROM facts""")
 def dataset_record(spark, sf_dir):
+    """Two records stored, one read back by its id and laid out by column."""
     path = scratch_path(spark, "datasets")
     for table in ("orders", "part"):
         store_record(profile_record(load(spark, sf_dir, table), table, f"{table}.parquet"), path)
-    return find_record(spark, path, "orders").drop("uploaded_at")
+    record = find_record(spark, path, "orders")
+    flat = record.select("dataset_id", "filename", "row_count", "column_types", "column_stats",
+                         F.posexplode("columns").alias("position", "column_name"))
+    stats = F.element_at("column_stats", F.col("column_name"))
+    return flat.select(
+        "dataset_id", "filename", "row_count", "position", "column_name",
+        F.element_at("column_types", F.col("column_name")).alias("column_type"),
+        stats["unique"].alias("unique_count"), stats["missing"].alias("missing"), stats["missing_pct"].alias("missing_pct"),
+    )
 
 
