@@ -4,8 +4,9 @@
 continuous column of a large table. Here the wanted rank is located first: the value range is cut
 into ``BINS`` equal bins, the bins are counted (pre-aggregated in every task, at most ``BINS`` rows per
 column come back) and only the one or two bins holding the rank are looked into. A bin with more than
-``BUFFER_VALUES`` rows is cut again, so skewed and heavy-tailed columns take more rounds, not more
-memory; a value repeated any number of times ends up alone in its bin.
+``BUFFER_VALUES`` rows is cut again, with equal and logarithmic bins in turn, so skewed and
+heavy-tailed columns take a few more rounds, not more memory; a value repeated any number of times
+ends up alone in its bin.
 
 Each round reads only the columns still open.
 """
@@ -33,10 +34,27 @@ def _double(name: str) -> Column:
     return F.when(c.isNotNull() & ~F.isnan(c), finite)
 
 
-def _bin(v: Column, lo: float, hi: float, bins: int) -> Column:
-    """Bin of ``v`` within [lo, hi], never falling as ``v`` rises; halves keep the width finite."""
+# below ln of the smallest positive double, so that the logarithmic scale keeps the order of signs
+LOG_SHIFT = 746.0
+
+
+def _bin(v: Column, lo: float, hi: float, bins: int, log: bool) -> Column:
+    """Bin of ``v`` within [lo, hi], never falling as ``v`` rises.
+
+    The linear scale uses halves, which keep the width finite. The logarithmic one separates values
+    of different magnitude and sign at once, where a far outlier would leave equal bins empty.
+    """
+    if log:
+        v = F.when(v > 0, F.log(v) + LOG_SHIFT).when(v < 0, -(F.log(-v) + LOG_SHIFT)).otherwise(F.lit(0.0))
+        lo, hi = (math.copysign(math.log(abs(x)) + LOG_SHIFT, x) if x else 0.0 for x in (lo, hi))
     factor = bins / (hi * 0.5 - lo * 0.5)
-    return F.least(F.floor((v * 0.5 - F.lit(lo * 0.5)) * F.lit(factor)), F.lit(bins - 1)).cast("int")
+    raw = F.floor((v * 0.5 - F.lit(lo * 0.5)) * F.lit(factor))
+    return F.greatest(F.least(raw, F.lit(bins - 1)), F.lit(0)).cast("int")
+
+
+def _spread(lo: float, hi: float) -> bool:
+    """Whether [lo, hi] spans signs or magnitudes enough for the logarithmic scale to help."""
+    return lo * hi <= 0 or max(abs(lo), abs(hi)) > 4 * min(abs(lo), abs(hi))
 
 
 def ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, float | None, float | None]]:
@@ -85,6 +103,7 @@ def exact_quantiles(
             else:
                 todo[name, j] = (q * (n - 1), _clamp(lo), _clamp(hi), n)
 
+    turn = 0
     while todo:
         # small enough already: straight to percentile
         place: dict[tuple[str, int], tuple[Column, Column, float, int]] = {}
@@ -95,7 +114,7 @@ def exact_quantiles(
             for x, (name, lo, hi) in enumerate(brackets):
                 v = _double(name)
                 parts.append(
-                    df.where((v >= lo) & (v <= hi)).groupBy(_bin(v, lo, hi, bins).alias("bin"))
+                    df.where((v >= lo) & (v <= hi)).groupBy(_bin(v, lo, hi, bins, turn % 2 == 1 and _spread(lo, hi)).alias("bin"))
                     .agg(F.count(F.lit(1)).alias("n")).select(F.lit(x).alias("x"), "bin", "n")
                 )
             for r in union_all(parts).collect():
@@ -114,7 +133,7 @@ def exact_quantiles(
                     if math.ceil(pos) < below + count:
                         break
                 below += count
-            spot = _bin(v, lo, hi, bins)
+            spot = _bin(v, lo, hi, bins, turn % 2 == 1 and _spread(lo, hi))
             hit = (v >= lo) & (v <= hi) & (spot >= first) & (spot <= last)
             place[key] = (hit, v, pos - before, inside)
         # one branch per question: the filter is compiled and only the rows of its bins reach the
@@ -140,7 +159,7 @@ def exact_quantiles(
                 answers[k] = lo
             else:
                 left[k] = (pos, lo, hi, n)
-        todo = left
+        todo, turn = left, turn + 1
     return {
         name: [None if answers[name, j] is None else _restore(answers[name, j]) for j in range(len(probabilities))]
         for name in columns
