@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tabsmith.operators.ledger import TERMINAL
@@ -30,8 +31,7 @@ class RunFollower:
         spark = rows.sparkSession
         events = rows.select(*COLUMNS)
         if batch > 0:
-            stored = events.schema.add("batch", "int")
-            events = rows.select(*COLUMNS)
+            stored = T.StructType([*events.schema.fields, T.StructField("batch", T.IntegerType())])
             earlier = self._table(spark, "finished", stored).where(F.col("batch") < batch)
             carried = self._table(spark, "open", stored).where(F.col("batch") == batch - 1)
             # a run that has ended is no longer followed
