@@ -221,10 +221,12 @@ def preprocess(
     keys: Sequence[str] | Column,
     test_size: float = 0.2,
     rules: Mapping[str, Row] | None = None,
+    fit_on: str = "all",
 ) -> Prepared:
     """Detect and drop useless columns, impute, encode, split.
 
-    Statistics come from the whole table, test rows included. Driver-side state is one record per
+    Medians, modes and dictionaries come from the whole table, test rows included, or with
+    ``fit_on="train"`` from the train part only (values seen only in test rows then get -1). Driver-side state is one record per
     column; the dictionaries stay a distributed table (reliably checkpointed, since every encoded
     column reads it). The returned table is lazy: projections and broadcast lookups over the scan.
     """
@@ -237,18 +239,22 @@ def preprocess(
     numbers = [c for c in features if isinstance(types[c], T.NumericType)]
     texts = [c for c in features if isinstance(types[c], T.StringType)]
     holed = {c for c in features if rules[c]["non_null"] < rules[c]["row_count"]}
-    middle = medians(df, numbers)
-    common = modes(df, [c for c in texts if c in holed])
-    filled = fill(df, {**{c: middle[c] for c in numbers if c in holed}, **common})
+    kind = rules[target]["problem_type"]
+    split_by = target if kind == "classification" else None
+    # split on the raw rows: the keys may be columns that are dropped or encoded below
+    out = train_test_split(df, keys, split_by, test_size, SPLIT_COLUMN)
+    if fit_on not in ("all", "train"):
+        raise ValueError(f"fit_on must be 'all' or 'train', not '{fit_on}'")
+    base = df if fit_on == "all" else out.where(F.col(SPLIT_COLUMN) == "train")
+    middle = medians(base, numbers)
+    common = modes(base, [c for c in texts if c in holed])
+    gaps = {**{c: middle[c] for c in numbers if c in holed}, **common}
+    out = fill(out, gaps)
 
     codes, sizes = None, {}
     if texts:
-        codes = cut_lineage(dictionary(filled, texts))
+        codes = cut_lineage(dictionary(fill(base, gaps), texts))
         sizes = dictionary_sizes(codes)
-    kind = rules[target]["problem_type"]
-    split_by = target if kind == "classification" else None
-    # split on the raw rows: the keys may be columns that are dropped or encoded below
-    out = train_test_split(filled, keys, split_by, test_size, SPLIT_COLUMN)
     if codes is not None:
         out = encode(out, codes, texts, sizes)
     mapping = None

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions import scalars
 from tabsmith.operators import ledger
-from tabsmith.operators.facts import column_facts, union_all
+from tabsmith.operators.detect import collect_rules
+from tabsmith.operators.facts import union_all
+from tabsmith.operators.report import facts_table
 from tabsmith.plans.catalog import TABLES, facts_sql, load, query
 from tabsmith.session import scratch_path
 from tabsmith.streaming.runs import RunFollower
@@ -228,7 +230,10 @@ SELECT dataset_id, target_column, dataset_name, 'default' AS user_id, CASE WHEN
        CASE WHEN error IS NULL THEN CASE WHEN row_count < 1000 THEN 120 WHEN row_count < 10000 THEN 300 WHEN row_count < 50000 THEN 600 ELSE 1200 END END AS estimated_time,
        error FROM e""")
 def create_runs(spark, sf_dir):
-    facts = union_all([column_facts(load(spark, sf_dir, t)).withColumn("dataset_id", F.lit(t)) for t in _DATA])
+    # one row per column, used three times below
+    facts = union_all([
+        facts_table(spark, collect_rules(load(spark, sf_dir, t))).withColumn("dataset_id", F.lit(t)) for t in _DATA
+    ])
     names = facts.select("dataset_id").distinct()
     asked = facts.select("dataset_id", F.col("column_name").alias("target_column"))
     requests = asked.unionByName(names.withColumn("target_column", F.lit("no_such_column"))).unionByName(

@@ -154,3 +154,15 @@ def test_preprocess_record(frame):
     meta = {r["feature"]: r for r in prepare.feature_metadata(made).collect()}
     assert meta["color"]["categories"] == {"blue": 0, "red": 1} and meta["size"]["is_integer"] is False
     assert meta["flag"]["feature_type"] == "numeric"
+
+
+def test_fit_on_train_ignores_test_rows(spark):
+    df = spark.range(50).select(
+        F.col("id").alias("row_id"), F.concat(F.lit("v"), (F.col("id") % 20).cast("string")).alias("c"),
+        (F.col("id") / 3).alias("y"),
+    )
+    made = prepare.preprocess(df, "y", ["row_id"], fit_on="train")
+    train = {r["c"] for r in made.train.select("c").distinct().collect()}
+    assert min(train) == 0 and made.dictionary.count() == len(train)
+    with pytest.raises(ValueError, match="fit_on"):
+        prepare.preprocess(df, "y", ["row_id"], fit_on="test")
