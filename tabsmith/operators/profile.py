@@ -295,7 +295,8 @@ def _corr_long(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         (F.col(f"c{i}") - F.lit(first[f"m{i}"] or 0.0)).alias(f"x{i}") for i in range(len(names))
     ])
     values: dict[tuple[str, str], float | None] = {p: None for p in pairs}
-    open_pairs = [p for p in pairs if p[0] in varied and p[1] in varied]
+    values |= {(a, b): 1.0 for a, b in pairs if a == b and a in varied}
+    open_pairs = [(a, b) for a, b in pairs if a != b and a in varied and b in varied]
     for start in range(0, len(open_pairs), PAIRS_PER_JOB):
         chunk = open_pairs[start : start + PAIRS_PER_JOB]
         aggs: dict[str, Column] = {}
