@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsmith.llm import minhash
+from tabsmith.llm import minhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @query("op1_minhash")
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+@query("op4_suffix_array")
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_report(load(spark, sf_dir, "documents"))
