@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsmith.llm import minhash, suffix
+from tabsmith.llm import language, minhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,8 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_suffix_array")
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_report(load(spark, sf_dir, "documents"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(load(spark, sf_dir, "documents"))
