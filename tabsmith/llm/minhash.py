@@ -29,7 +29,9 @@ from tabsmith.session import cut_lineage, scratch_path
 BANDS, ROWS = 32, 4
 PERCENT = 75
 MISS = 1e-6
-BLOCK = 64
+BLOCK = 128
+#: Band values with at most so many members are compared pair by pair.
+FEW = 8
 
 _SCALE = stream(11, BANDS * ROWS) | np.uint64(1)
 _SHIFT = stream(12, BANDS * ROWS)
@@ -129,8 +131,7 @@ def _verify(percent: int):
             keep = []
             for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
                 x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (left, right))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(_linked(x, y, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return linked
@@ -150,30 +151,79 @@ def _pruned(bounds: dict[int, int]):
     return likely
 
 
-def _between_blocks(bounds: dict[int, int]):
+def _few_pairs(bounds: dict[int, int]):
+    """Pairs of different components among a few members that the signatures do not rule out."""
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, same in zip(*(batch.column(c).to_pylist() for c in ("xs", "ys", "same")), strict=True):
-                a, b = ([m["doc_id"] for m in side] for side in (x, y))
-                ca, cb = (np.array([m["component"] for m in side]) for side in (x, y))
-                sa, sb = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint32).reshape(len(side), -1) for side in (x, y))
-                i, j = np.nonzero(ca[:, None] != cb[None, :])
-                if same:
-                    i, j = i[i < j], j[i < j]
-                alive = _survives(sa[i], sb[j], bounds)
+            for members in batch.column("members").to_pylist():
+                ids, of, sigs = _members(members)
+                i, j = np.nonzero(np.triu(of[:, None] != of[None, :]))
+                alive = _survives(sigs[i], sigs[j], bounds)
                 if len(alive):
-                    p, q = np.array(a)[i[alive]], np.array(b)[j[alive]]
+                    p, q = ids[i[alive]], ids[j[alive]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
     return pairs
 
 
+def _members(members: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, of = (np.array([m[c] for m in members]) for c in ("doc_id", "component"))
+    return ids, of, np.frombuffer(b"".join(m["sig"] for m in members), np.uint32).reshape(len(members), -1)
+
+
+def _block_links(bounds: dict[int, int], percent: int):
+    """A spanning forest of the confirmed links between components of two blocks of one band value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                xs, ys = batch.column("xs")[k].as_py(), batch.column("ys")[k].as_py()
+                (a, ca, sa), (b, cb, sb) = _members(xs), _members(ys)
+                left, right = ([np.frombuffer(m["shingles"], np.uint64) for m in side] for side in (xs, ys))
+                i, j = np.nonzero(ca[:, None] != cb[None, :])
+                if batch.column("same")[k].as_py():
+                    i, j = i[i < j], j[i < j]
+                alive = _survives(sa[i], sb[j], bounds)
+                root: dict[int, int] = {}
+
+                def find(x: int, root: dict[int, int] = root) -> int:
+                    while root.setdefault(x, x) != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                links = []
+                for p, q in zip(i[alive].tolist(), j[alive].tolist(), strict=True):
+                    u, v = find(int(ca[p])), find(int(cb[q]))
+                    if u != v and _linked(left[p], right[q], percent):
+                        root[max(u, v)] = min(u, v)
+                        links.append((min(a[p], b[q]), max(a[p], b[q])))
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Exact test of two sorted sets of shingle hashes."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * same >= percent * (len(both) - same)
+
+
+def _shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the given documents, written."""
+    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary")
+    return docs.sparkSession.read.parquet(_written(sets.dropDuplicates(["doc_id"]), "shingle-sets"))
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary")
-    sets = sets.dropDuplicates(["doc_id"])
-    table = sets.sparkSession.read.parquet(_written(sets, "shingle-sets"))
+    table = _shingle_sets(ids, docs)
     both = pairs.join(table.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(
         table.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b"
     )
@@ -226,11 +276,19 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, miss: float =
     open_bands = placed.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
     ).where("low <> high")
-    left = placed.join(cut_lineage(open_bands.select("band", "size")), "band").join(signed, "doc_id")
+    open_bands = cut_lineage(open_bands.select("band", "size"))
+    left = placed.join(open_bands, "band").join(signed, "doc_id")
+    few = left.where(F.col("size") <= FEW).groupBy("band").agg(
+        F.collect_list(F.struct("doc_id", "component", "sig")).alias("members")
+    )
+    rest = cut_lineage(few.select("members").mapInArrow(_few_pairs(bounds), "a long, b long").distinct())
+
+    many = left.where(F.col("size") > FEW)
+    sets = _shingle_sets(many.select("doc_id").distinct(), docs)
     count = F.ceil(F.col("size") / BLOCK).cast("int")
-    blocks = left.select(
+    blocks = many.join(sets, "doc_id").select(
         "band", count.alias("blocks"), F.pmod(F.xxhash64("doc_id"), count).cast("int").alias("block"),
-        F.struct("doc_id", "component", "sig").alias("member"),
+        F.struct("doc_id", "component", "sig", "shingles").alias("member"),
     ).groupBy("band", "blocks", "block").agg(F.collect_list("member").alias("members"))
     blocks = spark.read.parquet(_written(blocks, "blocks"))
     meets = blocks.select(
@@ -238,9 +296,9 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, miss: float =
         F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("y"),
     )
     other = blocks.select("band", F.col("block").alias("y"), F.col("members").alias("ys"))
-    rest = meets.join(other, ["band", "y"]).select("xs", "ys", (F.col("x") == F.col("y")).alias("same"))
-    rest = cut_lineage(rest.mapInArrow(_between_blocks(bounds), "a long, b long").distinct())
-    more = cut_lineage(_confirmed(rest, docs, percent))
+    pairs = meets.join(other, ["band", "y"]).select("xs", "ys", (F.col("x") == F.col("y")).alias("same"))
+    forest = pairs.mapInArrow(_block_links(bounds, percent), "a long, b long")
+    more = cut_lineage(_confirmed(rest, docs, percent).unionAll(forest))
     if not more.isEmpty():
         groups = components(links.unionAll(more))
 
