@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabsmith.llm import language, minhash, suffix
+from tabsmith.llm import language, minhash, pieces, suffix
+
+#: The vocabulary file of the piece queries; a path of the driver.
+PIECES = os.environ.get("TABSMITH_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +44,9 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(load(spark, sf_dir, "documents"))
+
+
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(load(spark, sf_dir, "documents"), pieces.read_vocabulary(PIECES))
+    return encoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "round_trip")
