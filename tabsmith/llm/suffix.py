@@ -10,12 +10,15 @@ of reach, so buckets are laid out in the cluster first and only open buckets are
 3. Segments that share a bucket and differ are refined: the 8-gram buckets of their positions are sorted
    by the bucket identifiers of later offsets, each round using the identifiers the last one wrote, until
    100 bytes are told apart. Only positions of buckets that are still shared are sorted again.
-4. A bucket with many different segments (a very common line) is not refined in one task: each of its
-   strings becomes a bucket of its own, whose first start is a partial aggregate.
+4. A bucket with many different segments (a very common line) is not refined in one task. Its segments
+   are cut into pieces of at most 16 strings, whose buckets are the 85 bytes that the strings of a piece
+   have in common, and steps 1 to 3 are done for these. Where such a bucket still has many different
+   pieces, each string is a bucket of its own, whose first start is a partial aggregate.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,7 @@ LENGTH, GRAM = 100, 32
 RUN = LENGTH - GRAM + 1  # strings that can share one 32-gram
 #: Buckets with more different segments than this are dealt out string by string.
 MANY = 256
+PIECE = 16
 FLUSH = 1 << 20
 CHUNK = 1 << 20
 
@@ -177,7 +181,7 @@ def _bytes(packed: bytes) -> np.ndarray:
 
 
 def _open_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the segments to refine; of very common buckets the strings, one by one, without bytes."""
+    """Bytes of the segments to refine; segments of very common buckets are cut into pieces."""
     for batch in batches:
         for i in range(batch.num_rows):
             data = _bytes(batch.column("packed")[i].as_py())
@@ -188,20 +192,41 @@ def _open_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             cold = np.flatnonzero(~many)
             if len(cold):
                 bodies = [data[start[k] : start[k] + count[k] + LENGTH - 1] for k in cold]
-                yield _content_batch(bucket[cold], doc, start[cold], bodies)
-            hot = np.flatnonzero(many)
-            for k in range(0, len(hot), 256):
-                some = hot[k : k + 256]
-                for lo in some:
-                    h = _hashes(data[start[lo] : start[lo] + count[lo] + LENGTH - 1])
-                    key = _string_hash(h, np.arange(count[lo])).view(np.int64)
-                    yield _content_batch(key, doc, start[lo] + np.arange(count[lo]), [None] * int(count[lo]))
+                yield _content_batch(bucket[cold], doc, start[cold], bodies, False)
+            pieces = [p for k in np.flatnonzero(many) for p in _pieces(data, int(start[k]), int(count[k]))]
+            if pieces:
+                keys, starts, bodies = zip(*pieces, strict=True)
+                yield _content_batch(np.array(keys), doc, np.array(starts), list(bodies), True)
+
+
+def _pieces(data: np.ndarray, start: int, count: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(hash of the common bytes, start, bytes) of the pieces of a segment, aligned at its smallest gram."""
+    body = data[start : start + count + LENGTH - 1]
+    gram = start + int(mix(_hashes(body)[32]).argmin())
+    for k in range((gram - start) // PIECE, -1, -1):
+        first = max(gram - k * PIECE - PIECE + 1, start)
+        end = min(gram - k * PIECE, start + count - 1) + 1
+        if first < end:
+            shared = data[gram - k * PIECE : gram - k * PIECE - PIECE + 1 + LENGTH].tobytes()
+            key = int.from_bytes(hashlib.blake2b(shared, digest_size=8).digest(), "little", signed=True)
+            yield key, first, data[first : end + LENGTH - 1]
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, start, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "body")), strict=True):
+            n = len(body) - LENGTH + 1
+            key = _string_hash(_hashes(np.frombuffer(body, np.uint8)), np.arange(n)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(np.full(n, doc, np.int64)), pa.array(start + np.arange(n))], ["bucket", "doc_id", "start"]
+            )
 
 
-def _content_batch(bucket, doc, start, bodies) -> pa.RecordBatch:
+def _content_batch(bucket, doc, start, bodies, piece: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket), pa.array(np.full(len(bucket), doc, np.int64)), pa.array(start), binary(bodies)],
-        ["bucket", "doc_id", "start", "body"],
+        [pa.array(bucket), pa.array(np.full(len(bucket), doc, np.int64)), pa.array(start), binary(bodies),
+         pa.array(np.full(len(bucket), piece))],
+        ["bucket", "doc_id", "start", "body", "piece"],
     )
 
 
@@ -364,12 +389,28 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     packed = docs.mapInArrow(_compress, "doc_id long, packed binary")
     bodies = _stored(
         packed.join(open_rows, "doc_id").select("doc_id", "packed", "open")
-        .mapInArrow(_open_contents, "bucket long, doc_id long, start long, body binary"),
+        .mapInArrow(_open_contents, "bucket long, doc_id long, start long, body binary, piece boolean"),
         "open-segments",
     )
     marks = "doc_id long, lo long, hi long"
-    cold = bodies.where("body IS NOT NULL").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine_rows, marks)
-    hot = bodies.where("body IS NULL").select("bucket", "doc_id", "start")
+    part = bodies.where("piece").select("bucket", F.xxhash64("body").alias("content"), "doc_id", "start", "body")
+    leaders = _stored(
+        part.groupBy("bucket", "content").agg(F.min(F.struct("doc_id", "start", "body")).alias("first"), F.count("*").alias("n")),
+        "piece-firsts",
+    )
+    same = part.join(leaders.where("n > 1").select("bucket", "content", "first.doc_id", "first.start")
+                     .toDF("bucket", "content", "_doc", "_start"), ["bucket", "content"])
+    same = same.where("doc_id <> _doc OR start <> _start").select(
+        "doc_id", F.col("start").alias("lo"), (F.col("start") + F.length("body")).alias("hi")
+    )
+    wide = cut_lineage(leaders.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    again_open = _stored(leaders.select("bucket", "first.*").join(wide, "bucket"), "open-pieces")
+    columns = ["bucket", "doc_id", "start", "body"]
+    refined = bodies.where("NOT piece").select(*columns).unionAll(again_open.where(F.col("n") <= MANY).select(*columns))
+
+    marks = "doc_id long, lo long, hi long"
+    cold = refined.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine_rows, marks)
+    hot = again_open.where(F.col("n") > MANY).select(*columns).mapInArrow(_strings, "bucket long, doc_id long, start long")
     begins = _stored(
         hot.groupBy("bucket").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"),
         "string-firsts",
@@ -377,7 +418,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     singles = hot.join(begins, "bucket").where(F.struct("doc_id", "start") != F.col("first")).select(
         "doc_id", F.col("start").alias("lo"), (F.col("start") + LENGTH).alias("hi")
     )
-    every = again.unionAll(cold).unionAll(singles).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    every = again.unionAll(same).unionAll(cold).unionAll(singles).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     return packed.join(every, "doc_id", "left").select("doc_id", "packed", "marks").mapInArrow(
         _cut, "doc_id long, n_bytes long, spans array<struct<lo: long, hi: long>>, kept binary"
     )
