@@ -29,7 +29,7 @@ from tabsmith.session import cut_lineage, scratch_path
 BANDS, ROWS = 32, 4
 PERCENT = 75
 MISS = 1e-6
-BLOCK = 128
+BLOCK = 512
 #: Band values with at most so many members are compared pair by pair.
 FEW = 8
 
@@ -173,16 +173,20 @@ def _members(members: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _block_links(bounds: dict[int, int], percent: int):
-    """A spanning forest of the confirmed links between components of two blocks of one band value."""
+    """A spanning forest of the confirmed links between components of two blocks of one band value.
+
+    Without a second block the members of the first are compared with each other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 xs, ys = batch.column("xs")[k].as_py(), batch.column("ys")[k].as_py()
+                same, ys = not ys, ys or xs
                 (a, ca, sa), (b, cb, sb) = _members(xs), _members(ys)
                 left, right = ([np.frombuffer(m["shingles"], np.uint64) for m in side] for side in (xs, ys))
                 i, j = np.nonzero(ca[:, None] != cb[None, :])
-                if batch.column("same")[k].as_py():
+                if same:
                     i, j = i[i < j], j[i < j]
                 alive = _survives(sa[i], sb[j], bounds)
                 root: dict[int, int] = {}
@@ -277,27 +281,28 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, miss: float =
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
     ).where("low <> high")
     open_bands = cut_lineage(open_bands.select("band", "size"))
-    left = placed.join(open_bands, "band").join(signed, "doc_id")
-    few = left.where(F.col("size") <= FEW).groupBy("band").agg(
+    left = placed.select("band", "doc_id", "component").join(open_bands, "band")
+    few = left.where(F.col("size") <= FEW).join(signed, "doc_id").groupBy("band").agg(
         F.collect_list(F.struct("doc_id", "component", "sig")).alias("members")
     )
     rest = cut_lineage(few.select("members").mapInArrow(_few_pairs(bounds), "a long, b long").distinct())
 
     many = left.where(F.col("size") > FEW)
-    sets = _shingle_sets(many.select("doc_id").distinct(), docs)
+    sets = _shingle_sets(many.select("doc_id").distinct(), docs).join(signed, "doc_id")
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     blocks = many.join(sets, "doc_id").select(
         "band", count.alias("blocks"), F.pmod(F.xxhash64("doc_id"), count).cast("int").alias("block"),
         F.struct("doc_id", "component", "sig", "shingles").alias("member"),
     ).groupBy("band", "blocks", "block").agg(F.collect_list("member").alias("members"))
     blocks = spark.read.parquet(_written(blocks, "blocks"))
-    meets = blocks.select(
-        "band", F.col("block").alias("x"), F.col("members").alias("xs"),
-        F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("y"),
-    )
-    other = blocks.select("band", F.col("block").alias("y"), F.col("members").alias("ys"))
-    pairs = meets.join(other, ["band", "y"]).select("xs", "ys", (F.col("x") == F.col("y")).alias("same"))
-    forest = pairs.mapInArrow(_block_links(bounds, percent), "a long, b long")
+    alone = blocks.select(F.col("members").alias("xs"), F.array().cast(blocks.schema["members"].dataType).alias("ys"))
+    wide = blocks.where("blocks > 1")
+    meets = wide.select(
+        "band", F.col("members").alias("xs"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.col("block").alias("x"),
+    ).where("x < block")
+    pairs = meets.join(wide.select("band", "block", F.col("members").alias("ys")), ["band", "block"]).select("xs", "ys")
+    forest = alone.unionAll(pairs).mapInArrow(_block_links(bounds, percent), "a long, b long")
     more = cut_lineage(_confirmed(rest, docs, percent).unionAll(forest))
     if not more.isEmpty():
         groups = components(links.unionAll(more))
