@@ -8,10 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import language, minhash, pieces, suffix
+from tabsmith.llm import divergence, language, lengths, licences, minhash, pieces, suffix
 
 #: The vocabulary file of the piece queries; a path of the driver.
 PIECES = os.environ.get("TABSMITH_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+#: Merge ranks and split pattern of the token counts.
+RANKS = os.environ.get("TABSMITH_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +53,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(load(spark, sf_dir, "documents"), pieces.read_vocabulary(PIECES))
     return encoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "round_trip")
+
+
+@query("op2_divergence")
+def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.quality(load(spark, sf_dir, "documents"))
+
+
+@query("op6_licences")
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(load(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
+@query("op7_token_lengths")
+def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = lengths.token_counts(load(spark, sf_dir, "documents"), PATTERN, lengths.read_ranks(RANKS))
+    return lengths.length_histogram(counts)
