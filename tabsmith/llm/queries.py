@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import divergence, language, lengths, licences, minhash, pieces, suffix
+from tabsmith.llm import decontaminate, divergence, language, lengths, licences, minhash, pieces, suffix
 
 #: The vocabulary file of the piece queries; a path of the driver.
 PIECES = os.environ.get("TABSMITH_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -69,3 +69,8 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = lengths.token_counts(load(spark, sf_dir, "documents"), PATTERN, lengths.read_ranks(RANKS))
     return lengths.length_histogram(counts)
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
