@@ -116,25 +116,28 @@ def _window_matches(b: Benchmark, h: np.ndarray, hits: np.ndarray, item: int, pe
     return out
 
 
+def _found(b: Benchmark, column: pa.Array, percent: int, radius: int) -> Iterator[tuple[int, list[tuple]]]:
+    """(row, matches) of the rows of a text column that match an item."""
+    data, offsets = strings(column)
+    short = sorted(set(b.sizes[b.sizes < SHINGLE].tolist()))
+    for lo, hi in slices(offsets):
+        h, _, _, bounds = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        hit = np.zeros(len(h), bool)
+        for n in (SHINGLE, *short):
+            g = shingle_hashes(h, n)
+            at = np.minimum(np.searchsorted(b.sorted_shingles, g), len(b.sorted_shingles) - 1)
+            hit[: len(g)] |= b.sorted_shingles[at] == g
+        for doc in np.unique(np.searchsorted(bounds, np.flatnonzero(hit), "right") - 1):
+            found = _document_matches(b, h[bounds[doc] : bounds[doc + 1]], short, percent, radius)
+            if found:
+                yield lo + int(doc), found
+
+
 def _matches(shared, percent: int, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = shared.value
-        short = {int(n): [] for n in set(b.sizes[b.sizes < SHINGLE].tolist())}
         for batch in batches:
-            data, offsets = strings(batch.column("text"))
             ids = batch.column("doc_id")
-            rows = []
-            for lo, hi in slices(offsets):
-                h, _, _, bounds = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                runs = shingle_hashes(h, SHINGLE)
-                grams = [(SHINGLE, runs)] + [(n, shingle_hashes(h, n)) for n in short]
-                hit = np.zeros(len(h), bool)
-                for _, g in grams:
-                    at = np.minimum(np.searchsorted(b.sorted_shingles, g), len(b.sorted_shingles) - 1)
-                    hit[: len(g)] |= b.sorted_shingles[at] == g
-                for doc in np.unique(np.searchsorted(bounds, np.flatnonzero(hit), "right") - 1):
-                    own = h[bounds[doc] : bounds[doc + 1]]
-                    rows += [(ids[lo + doc].as_py(), *m) for m in _document_matches(b, own, short, percent, radius)]
+            rows = [(ids[i].as_py(), *m) for i, found in _found(shared.value, batch.column("text"), percent, radius) for m in found]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)],
@@ -144,10 +147,20 @@ def _matches(shared, percent: int, radius: int):
     return run
 
 
+def _clean(shared, percent: int, radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[i for i, _ in _found(shared.value, batch.column("text"), percent, radius)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 _TYPES = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
 
-def _document_matches(b: Benchmark, h: np.ndarray, short: dict, percent: int, radius: int) -> list[tuple]:
+def _document_matches(b: Benchmark, h: np.ndarray, short: list[int], percent: int, radius: int) -> list[tuple]:
     places = defaultdict(list)
     grams = {n: shingle_hashes(h, n) for n in (SHINGLE, *short) if n <= len(h)}
     if len(h) < SHINGLE:
@@ -182,21 +195,33 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, percent: int = PERC
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    schema = "doc_id long, item_id long, similarity double, start_word long, n_words long"
+    out = spark.createDataFrame([], schema)
+    for index in _indexes(benchmark, radius):
+        out = out.unionAll(docs.mapInArrow(_matches(spark.sparkContext.broadcast(index), percent, radius), schema))
+    return out
+
+
+def _indexes(benchmark: DataFrame, radius: int) -> Iterator[Benchmark]:
+    """Indexes over the items in blocks of bounded size."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    schema = "doc_id long, item_id long, similarity double, start_word long, n_words long"
-    out = None
     n_blocks = max(1, -(-items.count() // ITEMS))
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
         index = build([(r["item_id"], r["text"]) for r in block.orderBy("item_id", "text").collect()], radius)
         if index is not None:
-            found = docs.mapInArrow(_matches(spark.sparkContext.broadcast(index), percent, radius), schema)
-            out = found if out is None else out.unionAll(found)
-    return spark.createDataFrame([], schema) if out is None else out
+            yield index
+
 
+def without_contaminated(
+    documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS
+) -> DataFrame:
+    """``documents`` without the rows that hold a benchmark passage; all columns are kept as they are.
 
-def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` without the rows that hold a benchmark passage; all columns are kept as they are."""
-    bad = contaminated(documents, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    Rows without doc_id are judged like the others; null and empty texts stay.
+    """
+    for index in _indexes(benchmark, radius):
+        shared = documents.sparkSession.sparkContext.broadcast(index)
+        documents = documents.mapInArrow(_clean(shared, percent, radius), documents.schema)
+    return documents

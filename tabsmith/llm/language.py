@@ -290,34 +290,46 @@ def fit(labelled: DataFrame, order: int = ORDER, training_docs: int = TRAINING_D
     return model
 
 
+def _judge(m: LanguageModel, column: pa.Array, tolerance: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, language number, score, cross-entropy, rejected) of each slice of a text column."""
+    data, offsets = strings(column)
+    for lo, hi in slices(offsets):
+        total, chars = m.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        h = -total / np.maximum(chars, 1)[:, None]
+        best = h.argmin(axis=1)
+        low = h[np.arange(len(best)), best]
+        gap = (h - low[:, None]) * np.minimum(chars, EVIDENCE)[:, None]
+        share = 1.0 / np.exp(-gap).sum(axis=1)
+        none = chars == 0
+        limit = m.centre[best] + tolerance * m.spread[best] / np.sqrt(np.maximum(chars, 1))
+        limit = np.maximum(limit, ALLOWANCE * m.centre[best])
+        best = np.where(none, len(m.langs), best)
+        yield lo, hi, best, np.where(none, 0.0, share), np.where(none, np.nan, low), none | (low > limit)
+
+
 def _predict(model, tolerance: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        names = np.array([*m.langs, UNKNOWN], object)
+        names = np.array([*model.value.langs, UNKNOWN], object)
         for batch in batches:
-            data, offsets = strings(batch.column("text"))
-            for lo, hi in slices(offsets):
-                total, chars = m.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                h = -total / np.maximum(chars, 1)[:, None]
-                best = h.argmin(axis=1)
-                low = h[np.arange(len(best)), best]
-                gap = (h - low[:, None]) * np.minimum(chars, EVIDENCE)[:, None]
-                share = 1.0 / np.exp(-gap).sum(axis=1)
-                none = chars == 0
-                limit = m.centre[best] + tolerance * m.spread[best] / np.sqrt(np.maximum(chars, 1))
-                limit = np.maximum(limit, ALLOWANCE * m.centre[best])
+            for lo, hi, best, share, low, rejected in _judge(model.value, batch.column("text"), tolerance):
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(lo, hi - lo), pa.array(names[np.where(none, len(m.langs), best)].tolist(), pa.string()),
-                        pa.array(np.where(none, 0.0, share)), pa.array(np.where(none, np.nan, low), from_pandas=True),
-                        pa.array(none | (low > limit)),
-                    ],
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(names[best].tolist(), pa.string()), pa.array(share),
+                     pa.array(low, from_pandas=True), pa.array(rejected)],
                     ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"],
                 )
 
     return run
 
 
+def _accepted(model, tolerance: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, *_, rejected in _judge(model.value, batch.column("text"), tolerance):
+                yield batch.slice(lo, hi - lo).filter(pa.array(~rejected))
+
+    return run
+
+
 def identify(documents: DataFrame, model: LanguageModel, tolerance: float = 1.5) -> DataFrame:
     """(doc_id, lang_pred, score, cross_entropy, rejected) for every row of ``documents(doc_id, text, ...)``.
 
@@ -342,8 +354,8 @@ def language_report(documents: DataFrame) -> DataFrame:
     )
 
 
-def keep_identified(documents: DataFrame) -> DataFrame:
+def keep_identified(documents: DataFrame, tolerance: float = 1.5) -> DataFrame:
     """``documents`` without the rows whose language is rejected; all columns are kept as they are."""
     model = fit(documents.where(learnable(F.col("doc_id"))))
-    gone = identify(documents, model).where("rejected").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    return documents.mapInArrow(_accepted(shared, tolerance), documents.schema)
