@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import decontaminate, divergence, language, lengths, licences, minhash, pages, pieces, suffix
+from tabsmith.llm import decontaminate, divergence, katz, language, lengths, licences, minhash, pages, pieces, suffix
 
 #: The vocabulary file of the piece queries; a path of the driver.
 PIECES = os.environ.get("TABSMITH_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -80,3 +80,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = pages.main_text(load(spark, sf_dir, "pages"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op3_katz")
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.fit_and_score(load(spark, sf_dir, "documents"))[1]

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.text import binary, mix, slices, stream, strings
+from tabsmith.llm.text import binary, fresh, mix, slices, stream, strings
 from tabsmith.session import cut_lineage, scratch_path
 
 LENGTH, GRAM = 100, 32
@@ -441,22 +441,27 @@ def removal_report(documents: DataFrame) -> DataFrame:
     )
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = [k.as_py().decode("utf-8", "ignore") for k in batch.column("kept")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], ["_doc", "_text"])
+def _decoded(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [k.as_py().decode("utf-8", "ignore") for k in batch.column("kept")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], names)
+
+    return run
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
     """``documents`` with the remaining text; texts of which nothing remains are left out.
 
     Other columns are kept, ``n_chars`` (where there is one) is counted again. A character that a
-    removal cuts in two is lost. Texts that were empty or null before stay as they are.
+    removal cuts in two is lost. Texts that were empty or null before stay as they are, as do rows
+    without doc_id.
     """
-    kept = remove_repeats(documents).where(F.size("spans") > 0).dropDuplicates(["doc_id"])
-    kept = kept.select("doc_id", "kept").mapInArrow(_decoded, "_doc long, _text string")
-    joined = documents.join(kept, F.col("doc_id") == F.col("_doc"), "left").where("_text IS NULL OR _text <> ''")
-    new = {"text": F.coalesce("_text", "text").alias("text")}
+    doc, new = fresh(documents.columns, "kept_doc"), fresh(documents.columns, "kept_text")
+    kept = remove_repeats(documents).where(F.size("spans") > 0).dropDuplicates(["doc_id"]).select("doc_id", "kept")
+    kept = kept.mapInArrow(_decoded([doc, new]), f"{doc} long, {new} string")
+    joined = documents.join(kept, F.col("doc_id") == F.col(doc), "left").where(F.col(new).isNull() | (F.col(new) != ""))
+    changed = {"text": F.coalesce(F.col(new), F.col("text")).alias("text")}
     if "n_chars" in documents.columns:
-        new["n_chars"] = F.coalesce(F.length("_text").cast("long"), "n_chars").alias("n_chars")
-    return joined.select(*[new.get(c, F.col(c)) for c in documents.columns])
+        changed["n_chars"] = F.coalesce(F.length(new).cast("long"), "n_chars").alias("n_chars")
+    return joined.select(*[changed.get(c, F.col(f"`{c}`")) for c in documents.columns])

@@ -113,3 +113,11 @@ def document_shingles(h: np.ndarray, bounds: np.ndarray, n: int = 5) -> Iterator
 
 def binary(rows: list) -> pa.Array:
     return pa.array([r if r is None or isinstance(r, bytes) else r.tobytes() for r in rows], pa.binary())
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that no given column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
