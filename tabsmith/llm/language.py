@@ -27,8 +27,9 @@ BOUNDARY = 0x20
 TRAINING_DOCS = 4000
 #: Bound of the broadcast models.
 MODEL_BYTES = 256 << 20
-#: A cross-entropy up to so many times that of the language's own texts is never rejected (mixed texts).
-ALLOWANCE = 1.6
+#: A cross-entropy up to this share of the way from the language's own texts to uniform letters is never
+#: rejected (texts of two languages lie below it).
+ALLOWANCE = 0.6
 #: A score never uses more evidence than that of so many characters.
 EVIDENCE = 50
 UNKNOWN = "und"
@@ -284,7 +285,7 @@ def fit(labelled: DataFrame, order: int = ORDER, training_docs: int = TRAINING_D
         own = held[held["lang"] == lang]
         middle = own["entropy"].mean() if len(own) >= 20 else overall
         centre.append(middle)
-        wide = (own["entropy"] - middle).abs() * np.sqrt(own["chars"]) if len(own) >= 20 else pd.Series([np.inf])
+        wide = (own["entropy"] - middle).abs() * np.sqrt(own["chars"]) if len(own) >= 20 else pd.Series([0.0])
         spread.append(float(wide.max()))
     model.centre, model.spread = np.array(centre), np.array(spread)
     return model
@@ -302,7 +303,7 @@ def _judge(m: LanguageModel, column: pa.Array, tolerance: float) -> Iterator[tup
         share = 1.0 / np.exp(-gap).sum(axis=1)
         none = chars == 0
         limit = m.centre[best] + tolerance * m.spread[best] / np.sqrt(np.maximum(chars, 1))
-        limit = np.maximum(limit, ALLOWANCE * m.centre[best])
+        limit = np.maximum(limit, m.centre[best] + ALLOWANCE * (-np.log(m.floor) - m.centre[best]))
         best = np.where(none, len(m.langs), best)
         yield lo, hi, best, np.where(none, 0.0, share), np.where(none, np.nan, low), none | (low > limit)
 
