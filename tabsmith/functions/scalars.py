@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,9 +51,14 @@ def bar_width(pct: Column) -> Column:
     return F.when(pct.isNotNull(), F.least(pct, F.lit(100.0)))
 
 
+# Fixed value: how a number is written.
+NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+
+
 def to_number(text: Column) -> Column:
-    """The number a text holds, or NULL."""
-    return F.trim(text).try_cast("double")
+    """The number a text holds, or NULL; type letters as in ``12d`` make no number."""
+    t = F.trim(text)
+    return F.when(t.rlike(NUMBER), t.try_cast("double"))
 
 
 def integer_violation(text: Column) -> Column:
@@ -82,39 +87,25 @@ def parse_request(json: Column) -> Column:
     return F.from_json(json, "map<string,string>")
 
 
-def _converted(dtype: T.DataType, to: str) -> T.DataType:
+def _as_text(dtype: T.DataType) -> T.DataType:
     if isinstance(dtype, T.ArrayType):
-        return T.ArrayType(_converted(dtype.elementType, to), dtype.containsNull)
+        return T.ArrayType(_as_text(dtype.elementType), dtype.containsNull)
     if isinstance(dtype, T.MapType):
-        return T.MapType(dtype.keyType, _converted(dtype.valueType, to), dtype.valueContainsNull)
+        return T.MapType(dtype.keyType, _as_text(dtype.valueType), dtype.valueContainsNull)
     if isinstance(dtype, T.StructType):
-        return T.StructType([T.StructField(f.name, _converted(f.dataType, to), f.nullable) for f in dtype])
-    if to == "decimal" and isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return T.DecimalType(38, 10)
-    if to == "double" and isinstance(dtype, T.DecimalType):
-        return T.DoubleType()
-    return dtype
-
-
-def _convert(df: DataFrame, to: str) -> DataFrame:
-    return df.select(
-        *[F.col(f"`{f.name}`").cast(_converted(f.dataType, to)).alias(f.name) for f in df.schema.fields]
-    )
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType), f.nullable) for f in dtype])
+    return T.StringType() if isinstance(dtype, (T.FloatType, T.DoubleType)) else dtype
 
 
 def to_decimal(df: DataFrame) -> DataFrame:
-    """Every float at any depth of lists, maps and structs becomes a decimal."""
-    return _convert(df, "decimal")
-
+    """Every float at any depth of lists, maps and structs becomes its shortest decimal text.
 
-def to_double(df: DataFrame) -> DataFrame:
-    """Every decimal at any depth becomes a double."""
-    return _convert(df, "double")
+    A decimal type has a fixed number of digits and would lose small and large numbers; the shortest
+    text that reads back as the same float loses none.
+    """
+    return df.select(*[F.col(f"`{f.name}`").cast(_as_text(f.dataType)).alias(f.name) for f in df.schema.fields])
 
 
-def replace_codes(value: Column, codes: Mapping[str, str]) -> Column:
-    """Small fixed recoding (status words and the like)."""
-    out = F.lit(None).cast("string")
-    for k, v in codes.items():
-        out = F.when(value == k, v).otherwise(out)
-    return out
+def to_double(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The texts of ``to_decimal`` as the floats they came from; ``schema`` is the one before."""
+    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])

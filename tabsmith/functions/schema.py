@@ -98,7 +98,7 @@ def project_features(df: DataFrame, feature_columns: Sequence[str]) -> DataFrame
     absent = missing_columns(feature_columns, df.columns)
     if absent:
         raise ValueError(f"Missing required columns: {absent}")
-    return df.select(*feature_columns)
+    return df.select(*[F.col(f"`{c}`") for c in feature_columns])
 
 
 def fold_nan(df: DataFrame) -> DataFrame:

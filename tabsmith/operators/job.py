@@ -88,5 +88,5 @@ def training_job(
         write_status(spark, paths, job, 2, "completed")
         return run
     except Exception as e:
-        write_status(spark, paths, job, 2, "failed", str(e)[:1000])
+        write_status(spark, paths, job, 2, "failed", str(e))
         raise

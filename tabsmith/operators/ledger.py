@@ -11,17 +11,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.operators.detect import preview_rule, time_budget
+from tabsmith.operators.detect import BUDGET_MAX, BUDGET_MIN, preview_rule, time_budget
 
 # Run states, record limits and the metrics compared.
 STATUSES = ("pending", "running", "completed", "failed")
 TERMINAL = ("completed", "failed")
 MAX_TAGS, TAG_CHARS, NOTE_CHARS = 10, 50, 1000
-MAX_COMPARED = 4
 PAGE_DEFAULT, PAGE_MAX = 20, 100
 CLASSIFICATION_METRICS = ("accuracy", "f1_score", "precision", "recall")
 REGRESSION_METRICS = ("r2_score", "rmse", "mae")
 LOWER_IS_BETTER = ("rmse", "mae")
+# The reasons that callers match on.
+NO_DATASET, NO_TARGET = "Dataset not found", "Target column not found in dataset"
+NO_RUN, NO_MODEL = "Job not found", "No portable model available for this job"
+WRONG_STATUS = "Cannot deploy job with status '"
+TOO_MANY_TAGS, BLANK_TAG = f"Maximum {MAX_TAGS} tags allowed per job", "Tags cannot be empty or whitespace"
+LONG_TAG, LONG_NOTES = f"Each tag must be {TAG_CHARS} characters or less", f"Notes must be {NOTE_CHARS} characters or less"
 
 
 # --- creating and following runs ----------------------------------------------------------------
@@ -32,7 +37,7 @@ def with_dataset(runs: DataFrame, datasets: DataFrame) -> DataFrame:
 
 
 def create_runs(requests: DataFrame, datasets: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pending runs with previewed problem type and search budget; a bad request carries an error.
+    """Pending runs with ids, times, previewed problem type and search budget; a bad request carries an error.
 
     ``requests(dataset_id, target_column[, budget])``, ``datasets(dataset_id, dataset_name)``,
     ``facts`` = column facts with ``dataset_id``.
@@ -45,11 +50,14 @@ def create_runs(requests: DataFrame, datasets: DataFrame, facts: DataFrame) -> D
     joined = requests.join(datasets, "dataset_id", "left").join(
         about, ["dataset_id", "target_column"], "left"
     )
-    error = F.when(F.col("dataset_name").isNull(), "Dataset not found").when(
-        F.col("problem_type").isNull(), "Target column not found in dataset"
-    )
+    error = F.when(F.col("dataset_name").isNull(), NO_DATASET).when(F.col("problem_type").isNull(), NO_TARGET)
+    if budget is not None:
+        outside = (budget < BUDGET_MIN) | (budget > BUDGET_MAX)
+        error = F.coalesce(error, F.when(outside, F.lit(f"time budget must be within {BUDGET_MIN}-{BUDGET_MAX} seconds")))
+        budget = F.when(~outside, budget)
+    now = F.current_timestamp()
     return joined.select(
-        "dataset_id", "target_column", "dataset_name", F.lit("default").alias("user_id"),
+        F.uuid().alias("job_id"), now.alias("created_at"), now.alias("updated_at"), "dataset_id", "target_column", "dataset_name", F.lit("default").alias("user_id"),
         F.when(error.isNull(), "pending").alias("status"), "problem_type",
         F.when(error.isNull(), time_budget(F.coalesce("row_count", F.lit(1000)), budget)).alias("estimated_time"),
         error.alias("error"),
@@ -64,9 +72,12 @@ def _newest(value: Column, when: Column | None = None) -> Column:
 
 
 def latest_state(events: DataFrame) -> DataFrame:
-    """Newest status per run; a message, once given, sticks until replaced."""
+    """Newest status per run; a message, once given, sticks until replaced.
+
+    An event without a status is a sign of life: it only moves ``updated_at``.
+    """
     return events.groupBy("job_id").agg(
-        _newest(F.col("status")).alias("status"),
+        _newest(F.col("status"), F.col("status").isNotNull()).alias("status"),
         _newest(F.col("message"), F.col("message").isNotNull()).alias("error_message"),
         F.max("ts").alias("updated_at"),
     )
@@ -76,7 +87,7 @@ def apply_status(events: DataFrame) -> DataFrame:
     """Fold of status writes: running sets started_at, a terminal state sets completed_at."""
     status = F.col("status")
     return events.groupBy("job_id").agg(
-        _newest(status).alias("status"),
+        _newest(status, status.isNotNull()).alias("status"),
         F.max(F.when(status == "running", F.col("ts"))).alias("started_at"),
         F.max(F.when(status.isin(*TERMINAL), F.col("ts"))).alias("completed_at"),
         _newest(F.col("message"), F.col("message").isNotNull()).alias("error_message"),
@@ -85,7 +96,11 @@ def apply_status(events: DataFrame) -> DataFrame:
 
 
 def followed(events: DataFrame) -> DataFrame:
-    """What a follower sees last: the first terminal status of a run, else its newest status."""
+    """What a follower sees last: the first terminal status of a run, else its newest status.
+
+    Events without a status are not seen.
+    """
+    events = events.where(F.col("status").isNotNull())
     over = F.col("status").isin(*TERMINAL)
     order = F.struct("ts", "event_id")
     first_end = F.min_by(F.struct("status", "ts"), F.when(over, order))
@@ -188,22 +203,25 @@ def scorable(runs: DataFrame) -> DataFrame:
 
 
 def select_runs(runs: DataFrame, ids: DataFrame | Sequence[str]) -> DataFrame:
-    """Completed runs among the ids; a literal selection keeps its first four ids."""
+    """Completed runs among the ids."""
     done = runs.where(F.col("status") == "completed")
     if isinstance(ids, DataFrame):
         return done.join(ids.select("job_id"), "job_id", "left_semi")
-    return done.where(F.col("job_id").isin(list(dict.fromkeys(ids))[:MAX_COMPARED]))
+    return done.where(F.col("job_id").isin(list(dict.fromkeys(ids))))
 
 
-def compare_runs(runs: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """(metric, job_id, value, is_best); every tie is marked. At most four runs are compared.
+def compare_runs(runs: DataFrame, ids: Sequence[str], max_runs: int | None = None) -> DataFrame:
+    """(metric, job_id, value, is_best) of all given runs; every tie is marked.
 
-    The metric list is that of the first selected run that is completed.
+    The metric list is that of the first given run that is completed. More than ``max_runs`` different
+    ids are an error.
     """
-    wanted = list(dict.fromkeys(ids))[:MAX_COMPARED]
+    wanted = list(dict.fromkeys(ids))
+    if max_runs is not None and len(wanted) > max_runs:
+        raise ValueError(f"at most {max_runs} runs can be compared, {len(wanted)} were given")
     picked = select_runs(runs, wanted)
-    kinds = {r["job_id"]: r["problem_type"] for r in picked.select("job_id", "problem_type").collect()}
-    first = next((kinds[i] for i in wanted if i in kinds), None)
+    place = F.array_position(F.array(*[F.lit(i) for i in wanted]).cast("array<string>"), F.col("job_id"))
+    first = picked.agg(F.min_by("problem_type", place)).first()[0]
     names = REGRESSION_METRICS if first == "regression" else CLASSIFICATION_METRICS
     long = picked.unpivot(["job_id"], list(names), "metric", "value")
     lower = F.col("metric").isin(*LOWER_IS_BETTER)
@@ -219,10 +237,10 @@ def purge_runs(runs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs kept, and a report of what goes with each removed run."""
     gone = ids.select("job_id")
     kept = runs.join(gone, "job_id", "left_anti")
-    paths = ["model_path", "portable_path", "eda_report_path", "training_report_path"]
+    report = F.coalesce("eda_report_path", "report_path") if "report_path" in runs.columns else F.col("eda_report_path")
+    paths = [F.col("model_path"), F.col("portable_path"), report, F.col("training_report_path")]
     removed = runs.join(gone, "job_id", "left_semi").select(
-        "job_id", "dataset_id",
-        sum((F.col(p).isNotNull().cast("int") for p in paths), F.lit(0)).alias("artifacts"),
+        "job_id", "dataset_id", sum((p.isNotNull().cast("int") for p in paths), F.lit(0)).alias("artifacts"),
     )
     return kept, removed
 
@@ -233,42 +251,67 @@ def purge_runs(runs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _meta_error() -> Column:
     tags, notes = F.col("new_tags"), F.col("new_notes")
     return (
-        F.when(F.size(tags) > MAX_TAGS, f"Maximum {MAX_TAGS} tags allowed per job")
-        .when(F.exists(tags, lambda t: F.trim(t) == ""), "Tags cannot be empty or whitespace")
-        .when(F.exists(tags, lambda t: F.char_length(t) > TAG_CHARS), f"Each tag must be {TAG_CHARS} characters or less")
-        .when(F.char_length(notes) > NOTE_CHARS, f"Notes must be {NOTE_CHARS} characters or less")
+        F.when(F.size(tags) > MAX_TAGS, TOO_MANY_TAGS)
+        .when(F.exists(tags, lambda t: F.trim(t) == ""), BLANK_TAG)
+        .when(F.exists(tags, lambda t: F.char_length(t) > TAG_CHARS), LONG_TAG)
+        .when(F.char_length(notes) > NOTE_CHARS, LONG_NOTES)
     )
 
 
+def _touched(runs: DataFrame, change: Column, at: Column) -> Column:
+    old = F.col("updated_at") if "updated_at" in runs.columns else F.lit(None).cast("timestamp")
+    return F.when(change, at).otherwise(old)
+
+
 def update_meta(runs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Tags and notes after ``updates(job_id, new_tags, new_notes)``; a rejected one changes nothing.
+    """Tags and notes after ``updates(job_id, new_tags, new_notes[, requested_at])``.
 
-    NULL leaves a field alone, blank notes remove the value.
+    A rejected update changes nothing. NULL leaves a field alone, blank notes remove the value. Several
+    updates of one run are folded to one row, later ones winning field by field (in the order of
+    ``requested_at``, without it in the order of their content); ``error`` is that of the last update.
+    An update of an unknown run becomes a row with an error.
     """
-    joined = runs.join(updates, "job_id", "left").withColumn("error", _meta_error())
+    when = F.col("requested_at") if "requested_at" in updates.columns else F.current_timestamp()
+    order = F.struct(when.alias("at"), F.col("new_tags"), F.col("new_notes"))
     fine = F.col("error").isNull()
+    folded = updates.withColumn("error", _meta_error()).groupBy("job_id").agg(
+        F.max_by("new_tags", F.when(fine & F.col("new_tags").isNotNull(), order)).alias("new_tags"),
+        F.max_by("new_notes", F.when(fine & F.col("new_notes").isNotNull(), order)).alias("new_notes"),
+        F.max(F.when(fine, when)).alias("changed_at"), F.max_by("error", order).alias("error"),
+    )
+    joined = runs.withColumn("known", F.lit(True)).join(folded, "job_id", "full_outer")
     return joined.withColumns({
-        "tags": F.when(fine & F.col("new_tags").isNotNull(), F.col("new_tags")).otherwise(F.col("tags")),
-        "notes": F.when(fine & (F.trim("new_notes") == ""), F.lit(None))
-        .when(fine & F.col("new_notes").isNotNull(), F.col("new_notes"))
-        .otherwise(F.col("notes")),
-    }).drop("new_tags", "new_notes")
+        "tags": F.coalesce("new_tags", "tags"),
+        "notes": F.when(F.trim("new_notes") == "", F.lit(None)).otherwise(F.coalesce("new_notes", "notes")),
+        "updated_at": _touched(runs, F.col("changed_at").isNotNull(), F.col("changed_at")),
+        "error": F.when(F.col("known").isNull(), F.lit(NO_RUN)).otherwise(F.col("error")),
+    }).drop("new_tags", "new_notes", "changed_at", "known")
 
 
 def set_deployed(runs: DataFrame, requests: DataFrame) -> DataFrame:
-    """State after ``requests(job_id, deploy, requested_at)``; rejected ones carry a reason."""
-    joined = runs.join(requests, "job_id", "left")
-    asked = F.col("deploy").isNotNull()
-    reason = F.when(asked & (F.col("status") != "completed"),
-                    F.concat(F.lit("Cannot deploy job with status '"), F.col("status"), F.lit("'"))).when(
-        F.col("deploy") & F.col("portable_path").isNull(), "No portable model available for this job"
+    """State after ``requests(job_id, deploy, requested_at)``; rejected ones carry a reason.
+
+    Several requests of one run are folded to one row: the latest accepted one decides, ``reason`` is
+    that of the latest. A request for an unknown run becomes a row with a reason.
+    """
+    about = runs.select("job_id", "status", "portable_path", F.lit(True).alias("known"))
+    reason = (
+        F.when(F.col("known").isNull(), NO_RUN)
+        .when(F.col("status") != "completed", F.concat(F.lit(WRONG_STATUS), F.col("status"), F.lit("'")))
+        .when(F.col("deploy") & F.col("portable_path").isNull(), NO_MODEL)
+    )
+    order = F.struct("requested_at", "deploy")
+    folded = requests.where(F.col("deploy").isNotNull()).join(about, "job_id", "left").withColumn("reason", reason)
+    folded = folded.groupBy("job_id").agg(
+        F.max_by(order, F.when(F.col("reason").isNull(), order)).alias("last"), F.max_by("reason", order).alias("reason")
     )
-    change = asked & reason.isNull()
-    return joined.withColumn("reason", reason).withColumns({
-        "deployed": F.when(change, F.col("deploy")).otherwise(F.coalesce("deployed", F.lit(False))),
-        "deployed_at": F.when(change & F.col("deploy"), F.col("requested_at"))
-        .when(change, F.lit(None)).otherwise(F.col("deployed_at")),
-    }).drop("deploy", "requested_at")
+    change, at = F.col("last").isNotNull(), F.col("last.requested_at")
+    joined = runs.join(folded, "job_id", "full_outer")
+    return joined.withColumns({
+        "deployed": F.when(change, F.col("last.deploy")).otherwise(F.coalesce("deployed", F.lit(False))),
+        "deployed_at": F.when(change, F.when(F.col("last.deploy"), at)).otherwise(F.col("deployed_at")),
+        "updated_at": _touched(runs, change, at),
+    }).drop("last")
 
 
 # --- ranked small results -----------------------------------------------------------------------

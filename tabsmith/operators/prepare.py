@@ -273,7 +273,10 @@ def preprocess(
 
 
 def feature_metadata(prepared: Prepared) -> DataFrame:
-    """One row per feature in fitted order: type, category map, range and integer flag."""
+    """One row per feature in fitted order: type, whole category map, range and integer flag.
+
+    The maps are records for people and requests; jobs over large dictionaries use ``feature_categories``.
+    """
     spark = prepared.raw.sparkSession
     base = spark.createDataFrame(
         [
@@ -292,14 +295,14 @@ def feature_metadata(prepared: Prepared) -> DataFrame:
         })
     if prepared.dictionary is None:
         return base.withColumn("categories", F.lit(None).cast("map<string,int>"))
-    # a map is a record for people and requests; a dictionary too large for one stays a table
-    small = [c for c, (n, b) in prepared.sizes.items() if n <= MAP_ENTRIES]
     maps = (
-        prepared.dictionary.where(F.col("column_name").isin(small) if small else F.lit(False))
-        .groupBy(F.col("column_name").alias("feature"))
+        feature_categories(prepared)
+        .groupBy("feature")
         .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("value", "code")))).alias("categories"))
     )
     return base.join(maps, "feature", "left")
 
 
-MAP_ENTRIES = 10_000
+def feature_categories(prepared: Prepared) -> DataFrame:
+    """(feature, value, code): the category maps as a long table, which no size of map makes one row."""
+    return prepared.dictionary.select(F.col("column_name").alias("feature"), "value", "code")

@@ -410,13 +410,17 @@ def class_imbalance(df: DataFrame, target: str) -> DataFrame:
     )
 
 
-def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Top values of the first categorical columns: count, share of rows, number of other values.
+def categorical_summary(
+    df: DataFrame, columns: Sequence[str] | None = None, first: int | None = TOP_COLUMNS
+) -> DataFrame:
+    """Top values of categorical columns: count, share of rows, number of other values.
+
+    Given columns are all answered; without them the ``first`` categorical ones are (None: all).
 
     The top values come from a distributed take-ordered per column, so no column is ever sorted in
     one task.
     """
-    names = (categorical_columns(df) if columns is None else list(columns))[:TOP_COLUMNS]
+    names = categorical_columns(df)[:first] if columns is None else list(columns)
     total = row_total(df)
     parts = []
     for name in names:
@@ -495,10 +499,3 @@ def eda_column_info(
 def missing_warning(facts: DataFrame) -> DataFrame:
     holed = F.count_if(F.col("non_null") < F.col("row_count"))
     return facts.agg(holed.alias("columns_with_missing"))
-
-
-def coarse_counts(df: DataFrame) -> dict[str, int]:
-    out = {"numeric": 0, "datetime": 0, "categorical": 0}
-    for f in df.schema.fields:
-        out[coarse_type(f.dataType)] += 1
-    return out

@@ -22,13 +22,17 @@ from tabsmith.session import cut_lineage
 
 ROWS_PER_PREFIX = 100_000
 MAX_PREFIX = 6
+MISSING_KEY = "\0missing"
 
 
 def key_hash(keys: Sequence[str] | Column) -> Column:
-    """Hex hash that orders the rows: of one key column's text, or of several joined by ``|``."""
+    """Hex hash that orders the rows: of one key column's text, or of several joined by ``|``.
+
+    A missing part counts as a text of its own, so rows without a key have an ordinary place.
+    """
     if isinstance(keys, Column):
-        return F.md5(keys.cast("string"))
-    parts = [F.col(f"`{k}`").cast("string") for k in keys]
+        return F.md5(F.coalesce(keys.cast("string"), F.lit(MISSING_KEY)))
+    parts = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit(MISSING_KEY)) for k in keys]
     return F.md5(parts[0] if len(parts) == 1 else F.concat_ws("|", *parts))
 
 
@@ -102,7 +106,8 @@ def train_test_split(
 ) -> DataFrame:
     """``df`` plus ``column`` = train / test; stratified by ``target`` when given.
 
-    ``keys`` must identify rows: rows sharing a key always land on the same side.
+    ``keys`` should identify rows: rows sharing a key (all rows without one, too) land on the same side,
+    so the test part has at least, not exactly, its share when such rows lie on the edge.
     """
     label = None if target is None else F.col(f"`{target}`")
     cut, classes = thresholds(df, keys, label, test_size)

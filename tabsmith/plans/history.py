@@ -73,7 +73,7 @@ EVENTS_SQL = """
 SELECT CAST(user_id AS STRING) AS job_id, ts, event_id,
        CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS status,
        CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'failed at ' || CAST(event_id AS STRING) END AS message
-FROM {events} WHERE event_type <> 'click'"""
+FROM {events}"""
 WITH_EVENTS = f"WITH ev AS ({EVENTS_SQL.replace('{events}', 'events')})"
 
 
@@ -182,7 +182,7 @@ def select_runs_semi(spark, sf_dir):
 @query("purge_runs_anti", WITH_RUNS + f"""
 SELECT job_id, dataset_id, job_id IN ({_CHOSEN}) AS removed,
        CASE WHEN job_id IN ({_CHOSEN}) THEN (model_path IS NOT NULL)::INTEGER + (portable_path IS NOT NULL)::INTEGER
-         + (eda_report_path IS NOT NULL)::INTEGER + (training_report_path IS NOT NULL)::INTEGER ELSE 0 END AS artifacts FROM runs""")
+         + (COALESCE(eda_report_path, report_path) IS NOT NULL)::INTEGER + (training_report_path IS NOT NULL)::INTEGER ELSE 0 END AS artifacts FROM runs""")
 def purge_runs_anti(spark, sf_dir):
     kept, removed = ledger.purge_runs(runs(spark, sf_dir), _chosen(spark, sf_dir))
     return kept.select("job_id", "dataset_id", F.lit(False).alias("removed"), F.lit(0).alias("artifacts")).unionByName(
@@ -191,7 +191,7 @@ def purge_runs_anti(spark, sf_dir):
 
 
 @query("compare_runs", WITH_RUNS + """,
-newest AS (SELECT * FROM runs WHERE status = 'completed' ORDER BY created_at DESC, job_id DESC LIMIT 4),
+newest AS (SELECT * FROM runs WHERE status = 'completed' ORDER BY created_at DESC, job_id DESC LIMIT 6),
 lead AS (SELECT problem_type FROM newest ORDER BY created_at DESC, job_id DESC LIMIT 1),
 long AS (
   SELECT 'classification' AS kind, 'accuracy' AS metric, job_id, accuracy AS value FROM newest
@@ -206,7 +206,7 @@ SELECT metric, job_id, value, COALESCE(value = CASE WHEN metric IN ('rmse', 'mae
 FROM long JOIN lead ON kind = problem_type""")
 def compare_runs(spark, sf_dir):
     table = runs(spark, sf_dir)
-    newest = ledger.list_runs(ledger.filter_runs(table, "completed"), limit=4).select("job_id").collect()
+    newest = ledger.list_runs(ledger.filter_runs(table, "completed"), limit=6).select("job_id").collect()
     return ledger.compare_runs(table, [r["job_id"] for r in newest])
 
 
@@ -240,11 +240,11 @@ def create_runs(spark, sf_dir):
         asked.withColumn("dataset_id", F.concat(F.lit("lost_"), "dataset_id"))
     )
     datasets = names.withColumn("dataset_name", F.concat("dataset_id", F.lit(".parquet")))
-    return ledger.create_runs(requests, datasets, facts)
+    return ledger.create_runs(requests, datasets, facts).drop("job_id", "created_at", "updated_at")
 
 
 @query("latest_state", WITH_EVENTS + f"""
-SELECT job_id, arg_max(status, (ts, event_id)) AS status,
+SELECT job_id, arg_max(status, (ts, event_id)) FILTER (WHERE status IS NOT NULL) AS status,
        arg_max(message, (ts, event_id)) FILTER (WHERE message IS NOT NULL) AS error_message,
        strftime(MAX(ts), '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM ev GROUP BY job_id""")
 def latest_state(spark, sf_dir):
@@ -252,7 +252,7 @@ def latest_state(spark, sf_dir):
 
 
 @query("apply_status", WITH_EVENTS + """
-SELECT job_id, arg_max(status, (ts, event_id)) AS status,
+SELECT job_id, arg_max(status, (ts, event_id)) FILTER (WHERE status IS NOT NULL) AS status,
        strftime(MAX(ts) FILTER (WHERE status = 'running'), '%Y-%m-%d %H:%M:%S.%f') AS started_at,
        strftime(MAX(ts) FILTER (WHERE status IN ('completed', 'failed')), '%Y-%m-%d %H:%M:%S.%f') AS completed_at,
        arg_max(message, (ts, event_id)) FILTER (WHERE message IS NOT NULL) AS error_message,
@@ -265,7 +265,7 @@ def apply_status(spark, sf_dir):
 @query("follow_runs", WITH_EVENTS + """,
 f AS (SELECT job_id, COALESCE(arg_min(status, (ts, event_id)) FILTER (WHERE status IN ('completed', 'failed')), arg_max(status, (ts, event_id))) AS status,
        COALESCE(MIN(ts) FILTER (WHERE status IN ('completed', 'failed')), MAX(ts)) AS ts,
-       BOOL_OR(status IN ('completed', 'failed')) AS finished FROM ev GROUP BY job_id)
+       BOOL_OR(status IN ('completed', 'failed')) AS finished FROM ev WHERE status IS NOT NULL GROUP BY job_id)
 SELECT job_id, status, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, finished FROM f""")
 def follow_runs(spark, sf_dir):
     source = load(spark, sf_dir, "events")
@@ -411,15 +411,16 @@ def numeric_scalars(spark, sf_dir):
 
 
 @query("decimal_roundtrip", """
-SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
-       ROUND(l_extendedprice * 2, 4) AS twice FROM lineitem""")
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice / 7 AS seventh, l_discount / 1e12::DOUBLE AS tiny,
+       l_tax * 1e30::DOUBLE AS huge, l_extendedprice * 2 AS twice FROM lineitem""")
 def decimal_roundtrip(spark, sf_dir):
     df = load(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_orderkey", "l_linenumber", "l_quantity", (F.col("l_extendedprice") / 7).alias("seventh"),
+        (F.col("l_discount") / F.lit(1e12)).alias("tiny"), (F.col("l_tax") * F.lit(1e30)).alias("huge"),
         F.transform(F.array("l_extendedprice"), lambda v: v * 2).alias("nested"),
     )
-    back = scalars.to_double(scalars.to_decimal(df))
-    return back.withColumn("twice", F.round(F.element_at("nested", 1), 4)).drop("nested")
+    back = scalars.to_double(scalars.to_decimal(df), df.schema)
+    return back.withColumn("twice", F.element_at("nested", 1)).drop("nested")
 
 
 _K_TEXT = "CASE WHEN event_id % 5 = 0 THEN {k} || '.5' WHEN event_id % 7 = 0 THEN 'n/a' WHEN event_id % 11 = 0 THEN ' 1e3 ' ELSE {k} END"

@@ -16,7 +16,7 @@ from tabsmith.plans.profiling import HOLED_ORDERS_SQL, holed_lineitem, holed_ord
 from tabsmith.session import scratch_path
 from tabsmith.sources.packages import load_package, save_package
 from tabsmith.sources.records import complete_run, find_record, profile_record, store_record
-from tabsmith.sources.tables import discover, read_table, write_predictions
+from tabsmith.sources.tables import discover, read_predictions, read_table, write_predictions
 from tabsmith.streaming.scoring import score_stream as start_score_stream
 
 _RUNS: dict[tuple[str, str, str], models.TrainingRun] = {}
@@ -171,7 +171,7 @@ def predict_sink_roundtrip(spark, sf_dir):
     scored = scoring.score(holed_lineitem(spark, sf_dir), run.package, "fitted")
     path = scratch_path(spark, "predictions")
     write_predictions(scored, path, "csv")
-    return read_table(spark, path, scored.schema)
+    return read_predictions(spark, path, scored.schema, "csv")
 
 
 @query("package_roundtrip", "SELECT COUNT(*) AS row_count, 0::BIGINT AS changed FROM lineitem")

@@ -29,12 +29,15 @@ def local_session(cpus: int = 8, name: str = "tabsmith", memory: str = "12g") ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (unit tests) is a folder of our own used.
+    Only where that setting is absent in a local session (tests) is a folder of our own used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if configured is None:
-        configured = context.getCheckpointDir() or tempfile.mkdtemp(prefix="tabsmith-")
+        configured = context.getCheckpointDir()
+        if configured is None and not context.master.startswith(("local[", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = configured or tempfile.mkdtemp(prefix="tabsmith-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured

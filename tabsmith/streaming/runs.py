@@ -29,7 +29,8 @@ class RunFollower:
 
     def step(self, rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        events = rows.select(*COLUMNS)
+        # an event without a status is a sign of life and changes nothing that is followed
+        events = rows.where(F.col("status").isNotNull()).select(*COLUMNS)
         if batch > 0:
             stored = T.StructType([*events.schema.fields, T.StructField("batch", T.IntegerType())])
             earlier = self._table(spark, "finished", stored).where(F.col("batch") < batch)

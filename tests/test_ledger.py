@@ -34,10 +34,12 @@ def test_pages_cover_everything_once(runs):
 def test_compare_marks_every_tie(runs):
     picked = ledger.compare_runs(runs.withColumn("rmse", F.when(F.col("rmse").isNotNull(), 1.0)), ["r0", "r3", "r4", "r1", "r7"])
     rows = picked.collect()
-    # four ids are kept, one of them is not completed
-    assert {r["job_id"] for r in rows} == {"r0", "r3", "r4"} and {r["metric"] for r in rows} == {"r2_score", "rmse", "mae"}
-    assert {r["job_id"] for r in rows if r["metric"] == "rmse" and r["is_best"]} == {"r0", "r3", "r4"}
-    assert [r["job_id"] for r in rows if r["metric"] == "r2_score" and r["is_best"]] == ["r4"]
+    # one of the ids is not completed
+    assert {r["job_id"] for r in rows} == {"r0", "r3", "r4", "r7"} and {r["metric"] for r in rows} == {"r2_score", "rmse", "mae"}
+    assert {r["job_id"] for r in rows if r["metric"] == "rmse" and r["is_best"]} == {"r0", "r3", "r4", "r7"}
+    assert [r["job_id"] for r in rows if r["metric"] == "r2_score" and r["is_best"]] == ["r7"]
+    with pytest.raises(ValueError):
+        ledger.compare_runs(runs, ["r0", "r3"], max_runs=1)
     assert not any(r["is_best"] for r in rows if r["metric"] == "mae")
 
 
@@ -73,5 +75,34 @@ def test_scalars(spark):
 def test_decimals_at_depth(spark):
     df = spark.sql("SELECT 1.5D AS a, array(2.5D) AS b, map('k', struct(3.5D AS v)) AS c, 'x' AS d")
     dec = scalars.to_decimal(df)
-    assert dict(dec.dtypes)["a"].startswith("decimal") and "decimal" in dict(dec.dtypes)["c"]
-    assert scalars.to_double(dec).collect() == df.collect()
+    assert dict(dec.dtypes) == {"a": "string", "b": "array<string>", "c": "map<string,struct<v:string>>", "d": "string"}
+    assert scalars.to_double(dec, df.schema).collect() == df.collect()
+    for x in (1.5e-12, 0.1234567890123, 1e30, -0.1 / 3):
+        one = spark.createDataFrame([(x,)], "x double")
+        assert scalars.to_double(scalars.to_decimal(one), one.schema).first()["x"] == x
+
+
+def test_updates_are_folded(spark, runs):
+    updates = spark.createDataFrame(
+        [("r0", ["a"], None, 1), ("r0", ["b"], "n", 2), ("r0", [" "], None, 3), ("gone", ["a"], None, 1)],
+        "job_id string, new_tags array<string>, new_notes string, at int",
+    ).withColumn("requested_at", F.timestamp_seconds("at"))
+    got = {r["job_id"]: r for r in ledger.update_meta(runs.withColumn("notes", F.lit("old")), updates).collect()}
+    assert len(got) == 11 and got["r0"]["tags"] == ["b"] and got["r0"]["notes"] == "n"
+    assert got["r0"]["error"] == ledger.BLANK_TAG and got["gone"]["error"] == ledger.NO_RUN
+    assert got["r0"]["updated_at"].timestamp() == 2 and got["r1"]["updated_at"] is None
+    full = runs.withColumns({"portable_path": F.lit("p"), "deployed": F.lit(None).cast("boolean"), "deployed_at": F.lit(None).cast("timestamp")})
+    asked = spark.createDataFrame(
+        [("r0", True, 1), ("r0", False, 2), ("r1", True, 1), ("r3", True, 5), ("gone", True, 1)], "job_id string, deploy boolean, at int"
+    ).withColumn("requested_at", F.timestamp_seconds("at"))
+    got = {r["job_id"]: r for r in ledger.set_deployed(full, asked).collect()}
+    assert len(got) == 11 and got["r0"]["deployed"] is False and got["r3"]["deployed"] and got["r3"]["deployed_at"].timestamp() == 5
+    assert got["r1"]["reason"].startswith(ledger.WRONG_STATUS) and got["gone"]["reason"] == ledger.NO_RUN
+
+
+def test_signs_of_life(spark):
+    rows = [("a", "running", 1, 1, None), ("a", None, 5, 2, None), ("b", None, 3, 3, None)]
+    events = spark.createDataFrame(rows, "job_id string, status string, ts int, event_id int, message string")
+    got = {r["job_id"]: (r["status"], r["updated_at"]) for r in ledger.apply_status(events).collect()}
+    assert got == {"a": ("running", 5), "b": (None, 3)}
+    assert [tuple(r) for r in ledger.followed(events).collect()] == [("a", "running", 1, False)]
