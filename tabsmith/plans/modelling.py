@@ -16,7 +16,7 @@ from tabsmith.plans.profiling import HOLED_ORDERS_SQL, holed_lineitem, holed_ord
 from tabsmith.session import scratch_path
 from tabsmith.sources.packages import load_package, save_package
 from tabsmith.sources.records import complete_run, find_record, profile_record, store_record
-from tabsmith.sources.tables import discover, read_predictions, read_table, write_predictions
+from tabsmith.sources.tables import CSV, discover, read_predictions, read_table, write_predictions
 from tabsmith.streaming.scoring import score_stream as start_score_stream
 
 _RUNS: dict[tuple[str, str, str], models.TrainingRun] = {}
@@ -174,6 +174,39 @@ def predict_sink_roundtrip(spark, sf_dir):
     return read_predictions(spark, path, scored.schema, "csv")
 
 
+@query("score_properties", """
+SELECT COUNT(*) AS row_count, 0::BIGINT AS bad_confidence, 0::BIGINT AS bad_sum, 0::BIGINT AS bad_label, 0::BIGINT AS changed FROM lineitem""")
+def score_properties(spark, sf_dir):
+    """What must hold of every scored row: confidence, probabilities that sum to one, the decoded label, kept input."""
+    run = trained(spark, sf_dir, "cls")
+    df = holed_lineitem(spark, sf_dir).drop("l_returnflag")
+    scored = scoring.score(df, run.package)
+    labels = run.package.labels.select(F.col("code").alias("prediction"), F.col("label").alias("decoded"))
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
+    checked = scored.join(F.broadcast(labels), "prediction", "left").agg(
+        F.count("*").alias("row_count"),
+        F.count_if(~F.col("confidence").eqNullSafe(F.array_max("probabilities")) | F.col("confidence").isNull()).alias("bad_confidence"),
+        F.count_if(F.coalesce(F.abs(total - 1) > 1e-9, F.lit(True))).alias("bad_sum"),
+        F.count_if(~F.col("prediction_label").eqNullSafe(F.coalesce("decoded", F.col("prediction").cast("string")))).alias("bad_label"),
+    )
+    changed = df.exceptAll(scored.select(*df.columns)).agg(F.count("*").alias("changed"))
+    return checked.crossJoin(changed)
+
+
+@query("sink_properties", "SELECT COUNT(*) AS row_count, 0::BIGINT AS lost, 0::BIGINT AS added FROM lineitem")
+def sink_properties(spark, sf_dir):
+    """Scored rows, probabilities included, written as CSV and read back."""
+    run = trained(spark, sf_dir, "cls")
+    path = scratch_path(spark, "sink")
+    stored = scratch_path(spark, "scored")
+    scoring.score(load(spark, sf_dir, "lineitem"), run.package, "fitted").write.parquet(stored)
+    scored = spark.read.parquet(stored)
+    write_predictions(scored, path, "csv")
+    back = read_predictions(spark, path, scored.schema, "csv")
+    lost, added = (a.exceptAll(b).agg(F.count("*").alias(n)) for a, b, n in ((scored, back, "lost"), (back, scored, "added")))
+    return back.agg(F.count("*").alias("row_count")).crossJoin(lost).crossJoin(added)
+
+
 @query("package_roundtrip", "SELECT COUNT(*) AS row_count, 0::BIGINT AS changed FROM lineitem")
 def package_roundtrip(spark, sf_dir):
     """Rows whose prediction changed by saving and loading, out of all rows."""
@@ -252,7 +285,7 @@ def prediction_info(spark, sf_dir):
 
 def _csv_of(df: DataFrame) -> str:
     path = scratch_path(df.sparkSession, "csv")
-    df.write.option("header", True).csv(path)
+    df.write.options(**CSV).csv(path)
     return path
 
 
@@ -269,6 +302,25 @@ def csv_scan(spark, sf_dir):
     return read_table(spark, _csv_of(tokens))
 
 
+@query("csv_documents", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_documents(spark, sf_dir):
+    """Texts with quotes, commas and line breaks as CSV and back."""
+    return read_table(spark, _csv_of(load(spark, sf_dir, "documents")))
+
+
+@query("csv_codes", """
+SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || CASE o_orderkey % 3 WHEN 0 THEN 'd' WHEN 1 THEN 'F' ELSE 'D' END AS code,
+       CASE WHEN o_orderkey % 2 = 0 THEN '1e3' ELSE '-.5' END::DOUBLE AS number, o_orderkey AS whole FROM orders""")
+def csv_codes(spark, sf_dir):
+    """Codes that end in a type letter stay text; other ways to write numbers are numbers."""
+    key = F.col("o_orderkey").cast("string")
+    letter = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'd' WHEN 1 THEN 'F' ELSE 'D' END")
+    return read_table(spark, _csv_of(load(spark, sf_dir, "orders").select(
+        "o_orderkey", F.concat(key, letter).alias("code"),
+        F.expr("CASE WHEN o_orderkey % 2 = 0 THEN '1e3' ELSE '-.5' END").alias("number"), key.alias("whole"),
+    )))
+
+
 @query("discover_files")
 def discover_files(spark, sf_dir):
     path = _csv_of(load(spark, sf_dir, "orders"))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsmith.operators import ledger, metrics, models, scoring
+from tabsmith.operators.split import train_test_split
 from tabsmith.operators.job import JobPaths, status_events, training_job
 from tabsmith.session import scratch_path
 from tabsmith.sources.packages import load_package, save_package
@@ -158,3 +159,21 @@ def test_prediction_sink(spark, table, run):
     path = scratch_path(spark, "test-sink")
     write_predictions(scoring.score(table, run.package), path, "csv")
     assert read_table(spark, path).count() == table.count()
+
+
+def test_boosted_classes_have_probabilities(spark):
+    rows = [(float(i % 7), float(i % 3), ["a", "b", "c"][i % 3], i) for i in range(240)]
+    df = spark.createDataFrame(rows, "x double, y double, cls string, k int")
+    families = [f for f in models.candidates("classification", 3) if f[0] == "gbt"]
+    run = models.run_training(df, "cls", ["k"], 60, families=families)
+    got = scoring.score(df, run.package).collect()
+    assert all(r["confidence"] == max(r["probabilities"]) and abs(sum(r["probabilities"]) - 1) < 1e-9 for r in got)
+    assert {r["prediction_label"] for r in got} == {"a", "b", "c"}
+
+
+def test_split_with_missing_keys(spark):
+    df = spark.createDataFrame([(None if i % 10 < 3 else i, "ab"[i % 2]) for i in range(200)], "k int, c string")
+    for target in (None, "c"):
+        out = train_test_split(df, ["k"], target)
+        assert out.where("_split = 'test'").count() >= 40
+        assert out.where("k IS NULL").select("_split").distinct().count() <= (1 if target is None else 2)
