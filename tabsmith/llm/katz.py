@@ -34,7 +34,7 @@ from tabsmith.llm.text import mix, slices, stream, strings, words
 from tabsmith.session import scratch_path
 
 LEARNED = 5  # counts up to this are discounted
-BATCH_TOKENS = 4_000_000
+BATCH_TOKENS = 1_200_000
 END = stream(51, 1)[0]
 
 
