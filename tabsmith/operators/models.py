@@ -25,6 +25,12 @@ from tabsmith.operators.prepare import SPLIT_COLUMN, Prepared, preprocess
 from tabsmith.session import scratch_path
 
 FEATURE_PREFIX = "_x_"
+
+
+def internal_name(feature: str) -> str:
+    """Column of a feature inside the model: without the characters that names are parsed by."""
+    return FEATURE_PREFIX + feature.replace("%", "%25").replace(".", "%2E").replace("`", "%60")
+
 LABEL = "_label"
 FOLDS = 10
 SEED = 42
@@ -41,14 +47,14 @@ def model_input(c: Column, dtype: T.DataType) -> Column:
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
     """Plain numbers in, so no column is taken for a nominal one whatever its codes are."""
-    return VectorAssembler(inputCols=[FEATURE_PREFIX + c for c in features], outputCol="features")
+    return VectorAssembler(inputCols=[internal_name(c) for c in features], outputCol="features")
 
 
 def with_inputs(df: DataFrame, features: Sequence[str], sources: dict[str, str] | None = None) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     source = sources or {c: c for c in features}
     return df.withColumns({
-        FEATURE_PREFIX + c: model_input(F.col(f"`{source[c]}`"), types[source[c]]) for c in features
+        internal_name(c): model_input(F.col(f"`{source[c]}`"), types[source[c]]) for c in features
     })
 
 
@@ -157,7 +163,7 @@ def feature_importance(model: Model, features: Sequence[str], train: DataFrame |
             size = [abs(float(v)) for v in model.coefficients.toArray()]
         spread = [1.0] * len(features)
         if train is not None:
-            row = train.agg(*[F.stddev_pop(FEATURE_PREFIX + c).alias(f"s{i}") for i, c in enumerate(features)]).first()
+            row = train.agg(*[F.stddev_pop(internal_name(c)).alias(f"s{i}") for i, c in enumerate(features)]).first()
             spread = [float(v or 0.0) for v in row]
         weighted = [s * d for s, d in zip(size, spread)]
         total = sum(weighted)
@@ -225,7 +231,7 @@ def fit_package(prepared: Prepared, budget_s: float, metric: str = "auto", patie
     features = prepared.feature_columns
     table, labels = labelled(prepared)
     slim = with_inputs(table, features).select(
-        *[FEATURE_PREFIX + c for c in features], LABEL, SPLIT_COLUMN
+        *[internal_name(c) for c in features], LABEL, SPLIT_COLUMN
     ).where(F.col(LABEL).isNotNull())
     path = scratch_path(spark, "prepared")
     slim.write.parquet(path)

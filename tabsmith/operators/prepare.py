@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row
@@ -89,26 +89,30 @@ def impute_mode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return fill(df, modes(df, names))
 
 
+def _named(prefix: str | Callable[[str], str], column: str) -> str:
+    return prefix(column) if callable(prefix) else prefix + column
+
+
 def impute_for_scoring(
     df: DataFrame,
     mode: str = "batch",
     fitted: Mapping[str, float | None] | None = None,
     columns: Sequence[str] | None = None,
-    prefix: str = "",
+    prefix: str | Callable[[str], str] = "",
 ) -> DataFrame:
     """Scoring-time imputation: median of the batch (or the fitted one), else 0; text ``Unknown``.
 
     ``fitted`` mode reads no data, which is what a stream needs. ``columns`` restricts it to
-    ``prefix + name`` columns, ``fitted`` still using ``name``.
+    ``prefix + name`` (or ``prefix(name)``) columns, ``fitted`` still using ``name``.
     """
     df = fold_nan(df)
-    chosen = set(df.columns) if columns is None else {prefix + c for c in columns}
+    chosen = set(df.columns) if columns is None else {_named(prefix, c) for c in columns}
     numbers = [c for c in numeric_columns(df) if c in chosen]
     if mode == "batch":
         names = columns_with_missing(df, numbers)
         values = {c: 0.0 if v is None else v for c, v in medians(df, names).items()}
     elif mode == "fitted":
-        known = {prefix + c: v for c, v in (fitted or {}).items()}
+        known = {_named(prefix, c): v for c, v in (fitted or {}).items()}
         values = {c: 0.0 if known.get(c) is None else known[c] for c in numbers}
     else:
         raise ValueError(f"unknown imputation mode '{mode}'")
@@ -140,7 +144,7 @@ def encode(
     codes: DataFrame,
     columns: Sequence[str],
     sizes: Mapping[str, tuple[int, int]] | None = None,
-    prefix: str = "",
+    prefix: str | Callable[[str], str] = "",
     streaming: bool = False,
 ) -> DataFrame:
     """Replace each column by its code, -1 for a value the dictionary does not hold.
@@ -152,7 +156,7 @@ def encode(
     out = df
     for c in columns:
         one = codes.where(F.col("column_name") == c).select("value", F.col("code").alias("__code"))
-        name = prefix + c
+        name = _named(prefix, c)
         out = lookup(out, one, _q(name).cast("string"), "value", "__code", sizes.get(c, (0, 0)), streaming)
         out = out.withColumn(name, F.coalesce("__code", F.lit(UNSEEN_CODE))).drop("__code")
     return out.select(*[_q(c) for c in df.columns])

@@ -177,3 +177,12 @@ def test_split_with_missing_keys(spark):
         out = train_test_split(df, ["k"], target)
         assert out.where("_split = 'test'").count() >= 40
         assert out.where("k IS NULL").select("_split").distinct().count() <= (1 if target is None else 2)
+
+
+def test_names_with_dots_and_blanks(spark, tmp_path):
+    rows = [(float(i % 7), "uv"[i % 2], float(i % 3), ["a", "b"][i % 2], i) for i in range(120)]
+    df = spark.createDataFrame(rows, "`sepal.length` double, `a kind` string, `per%cent` double, `the.class` string, k int")
+    families = models.candidates("classification", 2)[:1]
+    run = training_job(df, "the.class", ["k"], str(tmp_path), 30, families=families)
+    got = scoring.score(df, run.package)
+    assert got.columns[:5] == df.columns and got.where("prediction_label IS NULL").count() == 0
