@@ -52,12 +52,12 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
-_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines and punctuation, blanks and equivalent spellings made one."""
-    out = F.regexp_replace(F.lower(text), F.lit(_COPYRIGHT), F.lit(""))
+    out = F.regexp_replace(F.lower(text), F.lit(COPYRIGHT), F.lit(""))
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for a, b in EQUIVALENT:
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))

@@ -55,14 +55,85 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "round_trip")
 
 
-@query("op2_divergence")
+def _canonical_sql(text: str) -> str:
+    """The SQL of ``licences.canonical``."""
+    out = f"regexp_replace(lower({text}), '{licences.COPYRIGHT}', '', 'g')"
+    out = f"' ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for a, b in licences.EQUIVALENT:
+        out = f"replace({out}, ' {a} ', ' {b} ')"
+    return f"trim({out})"
+
+
+def _licences_sql() -> str:
+    rows = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licences.KNOWN)
+    return f"""
+WITH known(licence, text) AS (VALUES {rows}),
+names AS (SELECT sha256(body) AS digest, MIN(licence) AS licence
+          FROM (SELECT licence, {_canonical_sql("text")} AS body FROM known) WHERE body <> '' GROUP BY 1),
+d AS (SELECT doc_id, CASE WHEN body <> '' THEN sha256(body) END AS digest
+      FROM (SELECT doc_id, {_canonical_sql("text")} AS body FROM documents)),
+lines AS (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS spot FROM documents),
+hits AS (SELECT doc_id, spot, licence FROM (SELECT doc_id, spot, {_canonical_sql("line")} AS body FROM lines) JOIN names ON sha256(body) = digest),
+n AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT licence)), ',') AS notices, COUNT(DISTINCT spot) AS n_notice_lines FROM hits GROUP BY 1)
+SELECT d.doc_id, d.digest, names.licence, COALESCE(notices, '') AS notices, COALESCE(n_notice_lines, 0) AS n_notice_lines
+FROM d LEFT JOIN names USING (digest) LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+def _divergence_sql() -> str:
+    d = divergence
+    blank, k = "[\\x20\\x09-\\x0D]+", d.COMMON_WORDS
+    names = [n for n, _ in d.CLASSES]
+    rest, columns = "rest", []
+    for name, members in d.CLASSES:
+        left = "translate({}, '{}', '')".format(rest, members.replace("'", "''"))
+        columns.append(f"length({rest}) - length({left}) AS class_{name}")
+        rest = left
+    classes = ["class_lower", "class_blank", *(f"class_{n}" for n in names), "class_other"]
+    half = lambda x, m: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / {m}) ELSE 0 END"
+    bin_ = lambda p, q: f"({half(p, f'(({p} + {q}) / 2)')} + {half(q, f'(({p} + {q}) / 2)')}) / 2"
+    return f"""
+WITH docs AS (SELECT doc_id, COALESCE(lang, '*') AS lang, COALESCE(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '{blank}'), lambda x: x <> '') AS words,
+             regexp_replace(text, '[a-z\\x20\\x09-\\x0D]+', '', 'g') AS rest FROM docs),
+win AS (SELECT doc_id, pos, list_slice(words, pos, pos + 7) AS win
+        FROM (SELECT doc_id, words, UNNEST(range(1, len(words) - 6)) AS pos FROM w WHERE len(words) > 8)),
+rep AS (SELECT doc_id, COUNT(DISTINCT spot) AS n FROM (
+          SELECT doc_id, UNNEST(range(pos, pos + 8)) AS spot
+          FROM (SELECT *, COUNT(*) OVER (PARTITION BY doc_id, win) AS c FROM win) WHERE c > 1) GROUP BY 1),
+b0 AS (SELECT doc_id, lang, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(text) AS n_chars, length(rest) AS n_rest,
+              length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+              {", ".join(columns)}, length({rest}) AS class_other FROM w),
+b AS (SELECT b0.*, n_chars - word_chars AS class_blank, word_chars - n_rest AS class_lower,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, COALESCE(rep.n, 0) AS n_repeat_words FROM b0 LEFT JOIN rep USING (doc_id)),
+totals AS (SELECT lang, GREATEST(SUM(n_chars), 1) AS chars, GREATEST(SUM(n_words), 1) AS words, {", ".join(f"SUM({c}) AS t_{c}" for c in classes)} FROM b GROUP BY 1),
+lw AS (SELECT doc_id, lang, UNNEST(list_filter(regexp_split_to_array(lower(text), '{blank}'), lambda x: x <> '')) AS word FROM docs),
+top AS (SELECT * FROM (SELECT lang, word, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY COUNT(*) DESC, word) AS place FROM lw GROUP BY 1, 2) WHERE place <= {k}),
+own AS (SELECT doc_id, lang, word, COUNT(*) AS n FROM lw JOIN top USING (lang, word) GROUP BY 1, 2, 3),
+pq AS (SELECT b.doc_id, COALESCE(own.n, 0) / GREATEST(b.n_words, 1)::DOUBLE AS p, top.n / totals.words::DOUBLE AS q
+       FROM b JOIN totals USING (lang) JOIN top USING (lang) LEFT JOIN own ON own.doc_id = b.doc_id AND own.word = top.word),
+wd AS (SELECT doc_id, SUM({bin_("p", "q")}) AS s, GREATEST(1 - SUM(p), 0) AS p, GREATEST(1 - SUM(q), 0) AS q FROM pq GROUP BY 1),
+cp AS (SELECT doc_id, GREATEST(n_chars, 1)::DOUBLE AS c, b.*, totals.* FROM b JOIN totals USING (lang)),
+dist AS (SELECT cp.*, sqrt(GREATEST({" + ".join(bin_(f"({c} / c)", f"(t_{c} / chars)") for c in classes)}, 0)) AS cd,
+                sqrt(GREATEST(wd.s + {bin_("wd.p", "wd.q")}, 0)) AS wdist
+         FROM cp JOIN wd ON wd.doc_id = cp.doc_id),
+v AS (SELECT *, n_words < {d.MIN_BASE_WORDS} OR 100 * n_repeat_words > {d.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+             CASE WHEN n_chars >= {d.MIN_CHARS} THEN cd END AS class_distance, CASE WHEN n_words >= {d.MIN_WORDS} THEN wdist END AS word_distance FROM dist)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ROUND(class_distance, 9) AS class_distance,
+       ROUND(word_distance, 9) AS word_distance,
+       NOT base_failed AND COALESCE(class_distance, 0) <= {d.MAX_CLASS_DISTANCE} AND COALESCE(word_distance, 0) <= {d.MAX_WORD_DISTANCE} AS kept FROM v"""
+
+
+@query("op2_divergence", _divergence_sql())
 def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.quality(load(spark, sf_dir, "documents"))
+    out = divergence.quality(load(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 9) for c in ("class_distance", "word_distance")})
 
 
-@query("op6_licences")
+@query("op6_licences", _licences_sql())
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(load(spark, sf_dir, "documents"), licences.known_licences(spark))
+    out = licences.scan(load(spark, sf_dir, "documents"), licences.known_licences(spark))
+    return out.withColumn("notices", F.array_join("notices", ","))
 
 
 @query("op7_token_lengths")
