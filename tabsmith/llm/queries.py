@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +35,43 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-@query("op1_minhash")
+_BLANK = "[\\x20\\x09-\\x0D]+"
+_LOW = f"translate(COALESCE(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+_MINHASH_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW}, '{_BLANK}'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, UNNEST(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END)) AS g FROM d),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 100 * c >= {minhash.PERCENT} * (na.n + nb.n - c)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, low AS component_id, d.doc_id = low AS kept
+FROM d JOIN (SELECT x, MIN(y) AS low FROM reach GROUP BY 1) ON x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+_REPEATS_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h, octet_length(encode(COALESCE(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, UNNEST(list_transform(range(0, n - {suffix.LENGTH - 1}), lambda i: md5(substr(h, (2 * i + 1)::BIGINT, {2 * suffix.LENGTH})))) AS s,
+             UNNEST(range(0, n - {suffix.LENGTH - 1})) AS i FROM d WHERE n >= {suffix.LENGTH}),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, ROW_NUMBER() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+runs AS (SELECT doc_id, MIN(i) AS lo, MAX(i) + {suffix.LENGTH} AS hi FROM (
+           SELECT doc_id, i, SUM(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+             SELECT doc_id, i, CASE WHEN i - LAG(i) OVER (PARTITION BY doc_id ORDER BY i) <= {suffix.LENGTH} THEN 0 ELSE 1 END AS new FROM again))
+         GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, lo, hi, COALESCE(LAG(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM runs),
+cut AS (SELECT d.doc_id, SUM(hi - lo)::BIGINT AS n_removed, COUNT(*) AS n_spans,
+               string_agg(substr(h, (2 * since + 1)::BIGINT, (2 * (lo - since))::BIGINT), '' ORDER BY lo) || substr(ANY_VALUE(h), (2 * MAX(hi) + 1)::BIGINT) AS kept
+        FROM gaps JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, d.n AS n_bytes, COALESCE(n_removed, 0) AS n_removed, COALESCE(n_spans, 0) AS n_spans,
+       sha256(unhex(COALESCE(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id"""
+
+
+@query("op1_minhash", _MINHASH_SQL)
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
-@query("op4_suffix_array")
+@query("op4_suffix_array", _REPEATS_SQL)
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_report(load(spark, sf_dir, "documents"))
 
