@@ -174,7 +174,33 @@ def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(counts)
 
 
-@query("op10_decontaminate")
+def _shingles_sql(words: str) -> str:
+    n = decontaminate.SHINGLE
+    return (f"CASE WHEN len({words}) < {n} THEN [array_to_string({words}, ' ')] ELSE list_transform(range(1, len({words}) - {n - 2}), "
+            f"lambda i: array_to_string(list_slice({words}, i, i + {n - 1}), ' ')) END")
+
+
+_LEAKS_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW}, '{_BLANK}'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, list_filter(regexp_split_to_array({_LOW}, '{_BLANK}'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+ig AS (SELECT item_id, g, COUNT(*) AS c FROM (SELECT item_id, UNNEST({_shingles_sql("w")}) AS g FROM b WHERE len(w) > 0) GROUP BY 1, 2),
+im AS (SELECT item_id, SUM(c) AS m FROM ig GROUP BY 1),
+dg AS (SELECT DISTINCT doc_id, UNNEST({_shingles_sql("w")}) AS g FROM d WHERE len(w) > 0),
+cand AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+         UNION SELECT doc_id, item_id FROM d, b WHERE len(b.w) < {decontaminate.SHINGLE} AND len(b.w) > 0 AND len(d.w) > 0),
+win AS (SELECT doc_id, item_id, d.w, LEAST(len(d.w), len(b.w)) AS size, UNNEST(range(1, len(d.w) - LEAST(len(d.w), len(b.w)) + 2)) AS start
+        FROM cand JOIN d USING (doc_id) JOIN b USING (item_id)),
+part AS (SELECT doc_id, item_id, size, start, list_slice(w, start, start + size - 1) AS x FROM win),
+wg AS (SELECT doc_id, item_id, size, start, g, COUNT(*) AS c FROM (SELECT doc_id, item_id, size, start, UNNEST({_shingles_sql("x")}) AS g FROM part) GROUP BY ALL),
+sim AS (SELECT wg.doc_id, wg.item_id, size, start, SUM(LEAST(wg.c, COALESCE(ig.c, 0))) AS low, SUM(wg.c) AS own
+        FROM wg LEFT JOIN ig ON ig.item_id = wg.item_id AND ig.g = wg.g GROUP BY 1, 2, 3, 4),
+ok AS (SELECT doc_id, item_id, size, start, low::DOUBLE / (own + m - low) AS similarity FROM sim JOIN im USING (item_id)
+       WHERE 100 * low >= {decontaminate.PERCENT} * (own + m - low))
+SELECT doc_id, item_id, similarity, start - 1 AS start_word, size AS n_words
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS k FROM ok) WHERE k = 1"""
+
+
+@query("op10_decontaminate", _LEAKS_SQL)
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
