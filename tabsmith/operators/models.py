@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 import uuid
 from collections.abc import Sequence
@@ -31,7 +32,9 @@ def internal_name(feature: str) -> str:
     """Column of a feature inside the model: without the characters that names are parsed by."""
     return FEATURE_PREFIX + feature.replace("%", "%25").replace(".", "%2E").replace("`", "%60")
 
+
 LABEL = "_label"
+PATIENCE = 6
 FOLDS = 10
 SEED = 42
 
@@ -79,6 +82,41 @@ def candidates(problem_type: str, class_count: int) -> list[tuple[str, Estimator
     ]
 
 
+def search_space(problem_type: str, class_count: int, seed: int = SEED) -> list[tuple[str, Estimator]]:
+    """What the search tries: every family once, cheapest first, then more settings in a seeded order."""
+    cols = {"featuresCol": "features", "labelCol": LABEL, "seed": seed}
+    regression = problem_type == "regression"
+    forest = RandomForestRegressor if regression else RandomForestClassifier
+    single = DecisionTreeRegressor if regression else DecisionTreeClassifier
+    boosting = GBTRegressor if regression else GBTClassifier
+
+    def boosted(**settings) -> Estimator:
+        one = boosting(**settings, **cols)
+        several = not regression and class_count > 2
+        return OneVsRest(classifier=one, featuresCol="features", labelCol=LABEL) if several else one
+
+    # trees on all rows with few features each: the nearest to extremely random ones
+    extra = {"bootstrap": False, "featureSubsetStrategy": "sqrt"}
+    first = candidates(problem_type, class_count)
+    first.append(("extra", forest(numTrees=20, maxDepth=6, **extra, **cols)))
+    more = [
+        ("tree depth=10 rows=5", single(maxDepth=10, minInstancesPerNode=5, **cols)),
+        ("rf trees=40 depth=10", forest(numTrees=40, maxDepth=10, **cols)),
+        ("rf trees=40 depth=8 rows=10", forest(numTrees=40, maxDepth=8, minInstancesPerNode=10, **cols)),
+        ("extra trees=40 depth=10", forest(numTrees=40, maxDepth=10, **extra, **cols)),
+        ("gbt rounds=20 depth=5", boosted(maxIter=20, maxDepth=5)),
+        ("gbt rounds=30 depth=3 step=0.05", boosted(maxIter=30, maxDepth=3, stepSize=0.05)),
+    ]
+    random.Random(seed).shuffle(more)
+    return first + more
+
+
+def judged_fold(train: DataFrame, fold: Column) -> int | None:
+    """A fold that leaves rows on both sides; None where the rows are too few for any."""
+    sizes = {r["fold"]: r["n"] for r in train.groupBy(fold.alias("fold")).agg(F.count("*").alias("n")).collect()}
+    return min(sizes) if len(sizes) > 1 else None
+
+
 def selection_metric(problem_type: str, class_count: int) -> str:
     if problem_type == "regression":
         return "r2"
@@ -115,10 +153,10 @@ def select_model(
     class_count: int,
     budget_s: float,
     metric: str = "auto",
-    patience: int = 3,
+    patience: int = PATIENCE,
     families: list[tuple[str, Estimator]] | None = None,
 ) -> Search:
-    """Fit families on nine tenths of ``train`` (columns features, label), judge them on the rest,
+    """Fit candidates (all of ``search_space`` by default) on nine tenths of ``train`` (columns features, label), judge them on the rest,
     refit the best on all of it.
 
     The budget is checked between candidates and at least one is always finished; the search also
@@ -126,12 +164,14 @@ def select_model(
     """
     wanted = selection_metric(problem_type, class_count) if metric == "auto" else metric
     fold = F.pmod(F.xxhash64("features", LABEL), F.lit(FOLDS))
-    fit_part, judge_part = train.where(fold != 0), train.where(fold == 0)
+    judged = judged_fold(train, fold)
+    # very few rows: they are fitted and judged together
+    fit_part, judge_part = (train, train) if judged is None else (train.where(fold != judged), train.where(fold == judged))
     start = time.monotonic()
     trials: list[tuple[str, float, float]] = []
     best: tuple[float, str, Estimator] | None = None
     stale = 0
-    for name, estimator in families or candidates(problem_type, class_count):
+    for name, estimator in families or search_space(problem_type, class_count):
         if best is not None and (time.monotonic() - start >= budget_s or stale >= patience):
             break
         began = time.monotonic()
@@ -220,7 +260,7 @@ def labelled(prepared: Prepared) -> tuple[DataFrame, DataFrame | None]:
     return df.withColumn(LABEL, code), mapping
 
 
-def fit_package(prepared: Prepared, budget_s: float, metric: str = "auto", patience: int = 3,
+def fit_package(prepared: Prepared, budget_s: float, metric: str = "auto", patience: int = PATIENCE,
                 families: list[tuple[str, Estimator]] | None = None) -> tuple[Package, Search, DataFrame]:
     """Search on the train part; returns the package, the search and the labelled test part.
 
@@ -269,7 +309,7 @@ def run_training(
     keys: Sequence[str] | Column,
     budget_s: float | None = None,
     metric: str = "auto",
-    patience: int = 3,
+    patience: int = PATIENCE,
     families: list[tuple[str, Estimator]] | None = None,
     job_id: str | None = None,
 ) -> TrainingRun:

@@ -186,3 +186,15 @@ def test_names_with_dots_and_blanks(spark, tmp_path):
     run = training_job(df, "the.class", ["k"], str(tmp_path), 30, families=families)
     got = scoring.score(df, run.package)
     assert got.columns[:5] == df.columns and got.where("prediction_label IS NULL").count() == 0
+
+
+def test_search_tries_all_families(spark):
+    rows = [(float(i % 7), float(i % 5), float(i % 3 == 0), i) for i in range(60)]
+    df = spark.createDataFrame(rows, "x double, z double, y double, k int")
+    space = models.search_space("classification", 2)
+    run = models.run_training(df, "y", ["k"], 600, patience=99)
+    tried = [name for name, _, _ in run.trials]
+    assert sorted(tried) == sorted(name for name, _ in space) and len(tried) >= 10
+    assert {name.split()[0] for name in tried} == {"linear", "tree", "rf", "gbt", "extra"}
+    assert models.search_space("regression", 0)[0][0] == "linear"
+    assert [n for n, _ in models.search_space("regression", 0)] == [n for n, _ in models.search_space("regression", 0)]
