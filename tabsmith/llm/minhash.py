@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -218,65 +219,69 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(both) - same)
 
 
-def _shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+def _shingle_sets(ids: DataFrame, docs: DataFrame, root: str) -> DataFrame:
     """(doc_id, shingles) of the given documents, written."""
     sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary")
-    return docs.sparkSession.read.parquet(_written(sets.dropDuplicates(["doc_id"]), "shingle-sets"))
+    return docs.sparkSession.read.parquet(_written(sets.dropDuplicates(["doc_id"]), root, "shingle-sets"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, root: str) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    table = _shingle_sets(ids, docs)
+    table = _shingle_sets(ids, docs, root)
     both = pairs.join(table.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(
         table.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b"
     )
     return both.select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long")
 
 
-def _written(df: DataFrame, label: str) -> str:
-    path = scratch_path(df.sparkSession, label)
+def _written(df: DataFrame, root: str, label: str) -> str:
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 
 
-def near_duplicates(documents: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+def near_duplicates(
+    documents: DataFrame, percent: int = PERCENT, miss: float = MISS, root: str | None = None
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``documents(doc_id, text, ...)``.
 
     Texts are linked when 100 * |A & B| >= percent * |A | B| for their sets of 5-word shingles (A-Z as
     a-z); component_id is the smallest doc_id reachable. A text with fewer words is one shingle; null
     text, empty text and text without words have none and are linked with nothing. Repeated rows give
     repeated results. Rows without doc_id are ignored. Other columns are ignored. An empty table gives
-    an empty result. ``doc_id`` must be an integer that names one text.
+    an empty result. ``doc_id`` must be an integer that names one text. ``root`` is the folder for the
+    tables the result is read from.
     """
     spark = documents.sparkSession
+    root = root or scratch_path(spark, "minhash")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.where(F.col("doc_id").isNotNull())
     sketches = spark.read.parquet(
-        _written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, key binary, sig binary"), "sketches")
+        _written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, key binary, sig binary"), root, "sketches")
     )
     classes = cut_lineage(sketches.groupBy("key").agg(F.min("doc_id").alias("rep")))
     reps = classes.select(F.col("rep").alias("doc_id"))
     signed = sketches.where(F.col("n_shingles") > 0).join(reps, "doc_id", "left_semi").select("doc_id", "sig")
-    signed = spark.read.parquet(_written(signed.dropDuplicates(["doc_id"]), "signatures"))
+    signed = spark.read.parquet(_written(signed.dropDuplicates(["doc_id"]), root, "signatures"))
 
     rows = signed.mapInArrow(_band_rows, "band long, doc_id long")
     shared = rows.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     shared = cut_lineage(shared)
-    members = spark.read.parquet(_written(rows.join(shared, "band"), "band-members"))
+    members = spark.read.parquet(_written(rows.join(shared, "band"), root, "band-members"))
 
     bounds = least_agreement(percent / 100, miss, range(32, BANDS * ROWS + 1, 32))
     sig = lambda key, name: signed.select(F.col("doc_id").alias(key), F.col("sig").alias(name))
     first = members.where("doc_id <> first").groupBy("doc_id").agg(F.min("first").alias("a"))
     first = first.select("a", F.col("doc_id").alias("b")).join(sig("b", "right"), "b").join(sig("a", "left"), "a")
     likely = cut_lineage(first.select("a", "b", "left", "right").mapInArrow(_pruned(bounds), "a long, b long"))
-    links = cut_lineage(_confirmed(likely, docs, percent))
+    links = cut_lineage(_confirmed(likely, docs, percent, root))
     groups = cut_lineage(components(links))
 
     # members of one band value that are still in different components
     placed = members.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     placed = placed.select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    placed = spark.read.parquet(_written(placed, "placed"))
+    placed = spark.read.parquet(_written(placed, root, "placed"))
     open_bands = placed.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
     ).where("low <> high")
@@ -288,13 +293,13 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, miss: float =
     rest = cut_lineage(few.select("members").mapInArrow(_few_pairs(bounds), "a long, b long").distinct())
 
     many = left.where(F.col("size") > FEW)
-    sets = _shingle_sets(many.select("doc_id").distinct(), docs).join(signed, "doc_id")
+    sets = _shingle_sets(many.select("doc_id").distinct(), docs, root).join(signed, "doc_id")
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     blocks = many.join(sets, "doc_id").select(
         "band", count.alias("blocks"), F.pmod(F.xxhash64("doc_id"), count).cast("int").alias("block"),
         F.struct("doc_id", "component", "sig", "shingles").alias("member"),
     ).groupBy("band", "blocks", "block").agg(F.collect_list("member").alias("members"))
-    blocks = spark.read.parquet(_written(blocks, "blocks"))
+    blocks = spark.read.parquet(_written(blocks, root, "blocks"))
     alone = blocks.select(F.col("members").alias("xs"), F.array().cast(blocks.schema["members"].dataType).alias("ys"))
     wide = blocks.where("blocks > 1")
     meets = wide.select(
@@ -303,14 +308,14 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, miss: float =
     ).where("x < block")
     pairs = meets.join(wide.select("band", "block", F.col("members").alias("ys")), ["band", "block"]).select("xs", "ys")
     forest = alone.unionAll(pairs).mapInArrow(_block_links(bounds, percent), "a long, b long")
-    more = cut_lineage(_confirmed(rest, docs, percent).unionAll(forest))
+    more = cut_lineage(_confirmed(rest, docs, percent, root).unionAll(forest))
     if not more.isEmpty():
         groups = components(links.unionAll(more))
 
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select(
         "key", F.coalesce("component", "rep").alias("component_id")
     )
-    named = spark.read.parquet(_written(named, "classes"))
+    named = spark.read.parquet(_written(named, root, "classes"))
     return sketches.select("doc_id", "n_shingles", "key").join(named, "key").select(
         "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")
     )
@@ -321,5 +326,11 @@ def keep_first(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     All columns are kept; of repeated rows with one doc_id all stay or go.
     """
-    kept = near_duplicates(documents, percent).where("kept").select("doc_id").distinct()
+    spark = documents.sparkSession
+    root = scratch_path(spark, "minhash")
+    kept = near_duplicates(documents, percent, root=root).where("kept").select("doc_id").distinct()
+    kept = spark.read.parquet(_written(kept, scratch_path(spark, "minhash-kept"), "ids"))
+    # from here on only the ids are read: the signatures and sets need no room any more
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return documents.join(kept, "doc_id", "left_semi").select(*documents.columns)
