@@ -1,9 +1,9 @@
 """Main text of web pages by differencing with the page of the nearest URL.
 
 Pages are ordered by host and path; each one is paired with the neighbour that shares more path segments.
-The text lines of the two are aligned by their longest common subsequence and the shared ones deleted.
-What stands inside the page's article is content even if a copy of the page shares it, and what stands in
-an element for menus, notices, forms and the like is none even if the neighbour lacks it.
+The text lines of the two are aligned by their longest common subsequence and the shared ones deleted,
+inside the page's article too, unless the neighbour is a copy of the page. What the alignment leaves is
+content wherever it stands, but for elements of menus, notices, forms and the like.
 """
 
 from __future__ import annotations
@@ -174,14 +174,29 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), binary(packed)], ["page_id", "url", "packed"])
 
 
+def kept_lines(found: list, shared: list[int]) -> list[str]:
+    """The lines that are content: not shared with the neighbour, then not in a no-content element.
+
+    A neighbour that shares every content line, or more than half of the article's characters, is a copy
+    of the page: its alignment does not tell content from template, and only the elements decide.
+    """
+    gone = set(shared)
+    content = [i for i, (_, _, none) in enumerate(found) if not none]
+    own = [i for i in content if i not in gone]
+    size = [sum(len(found[i][0]) for i in part if found[i][1]) for part in (own, content)]
+    if own and 2 * size[0] >= size[1]:
+        content = own
+    elif any(found[i][1] for i in content):
+        content = [i for i in content if found[i][1] or i not in gone]
+    return [found[i][0] for i in content]
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for packed, shared in zip(batch.column("packed").to_pylist(), batch.column("shared").to_pylist(), strict=True):
             found = json.loads(zstandard.decompress(packed)) if packed else []
-            gone = set(shared or ())
-            has_main = any(main and not none for _, main, none in found)
-            texts.append(" ".join(t for i, (t, main, none) in enumerate(found) if not none and (main if has_main else i not in gone)))
+            texts.append(" ".join(kept_lines(found, shared or [])))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -227,9 +242,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row of ``pages(page_id, url, html, ...)``.
 
     Character references are decoded, white space inside a block becomes one blank, blocks are joined
-    in page order by one blank. Null and empty html, and pages without content, have the empty text. A
-    page without article or main element keeps what no menu, form or the like holds and its neighbour
-    does not share. Pages of one host with equal paths are neighbours; a page alone on its host has
+    in page order by one blank. Null and empty html, and pages without content, have the empty text.
+    See ``kept_lines`` for what is content. Pages of one host with equal paths are neighbours; a page alone on its host has
     none. A null url is the host of no name. Rows repeated with a page_id each get their result; a null
     page_id is passed on without a neighbour. Other columns are ignored; empty tables give empty results.
     """

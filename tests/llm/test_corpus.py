@@ -349,6 +349,18 @@ def test_page_text(spark):
     assert got[20] == [""] and got[21] == [""] and got[22] == ["text é! end"]
 
 
+def test_alignment_decides_inside_and_outside_the_article(spark):
+    body = "<p>intro {i}<article><p>every page says this<p>long text of the page number {i}</article><p>site line"
+    rows = [(i, f"http://a.org/{i}", PAGE.format(nav=f"n{i}", body=body.format(i=i), foot=f"f{i}")) for i in range(3)]
+    rows += [(10 + i, f"http://copy.org/{i}", PAGE.format(nav="n", body="<article><p>same<p>text</article><p>site line", foot="f")) for i in range(2)]
+    rows += [(20 + i, f"http://near.org/{i}", PAGE.format(nav="n", body=f"<article><p>most of the article<p>v{i}</article><p>site line", foot="f")) for i in range(2)]
+    rows += [(30 + i, f"http://plain.org/{i}", PAGE.format(nav="n", body="<p>same<p>text", foot="f")) for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(3)] == [f"intro {i} long text of the page number {i}" for i in range(3)]
+    assert got[10] == got[11] == "same text" and [got[20], got[21]] == ["most of the article v0", "most of the article v1"]
+    assert got[30] == got[31] == "same text"
+
+
 def test_common_lines():
     r = random.Random(4)
     for _ in range(200):
