@@ -40,22 +40,36 @@ NO_CONTENT_WORDS = frozenset(
     "disqus footer gdpr menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted "
     "related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Parts of a class name that say how a page is laid out, not what the element is: no-sidebar, with-banner.
+LAYOUT_WORDS = frozenset("has have layout no non not with without".split())
+_OUTSIDE = ("", False, False, False)
+
+
+def marked(names: str) -> bool:
+    """Whether a class, id or role name marks an element as no content by one of its words."""
+    for name in names.lower().split():
+        words = set(name.replace("_", "-").split("-"))
+        if not NO_CONTENT_WORDS.isdisjoint(words) and LAYOUT_WORDS.isdisjoint(words):
+            return True
+    return False
 
 
 class _Reader(HTMLParser):
-    """Collects (text, in main content, in a no-content element) of every block in page order."""
+    """Collects (text, in main content, in a no-content element, in a wrapper) of every block in page order.
+
+    A wrapper is a form or a marked element outside the article; it may hold the page's article.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, bool, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # tag, main, no content
+        self.blocks: list[tuple[str, bool, bool, bool]] = []
+        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, main, no content, wrapper
         self.parts: list[str] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, main, none = self.open[-1] if self.open else ("", False, False)
-            self.blocks.append((text, main, none))
+            self.blocks.append((text, *(self.open[-1] if self.open else _OUTSIDE)[1:]))
         self.parts = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -65,16 +79,17 @@ class _Reader(HTMLParser):
                 self._close_open(tag)
         if tag in VOID:
             return
-        _, main, none = self.open[-1] if self.open else ("", False, False)
+        _, main, none, wrapper = self.open[-1] if self.open else _OUTSIDE
         values = {k: (v or "") for k, v in attrs}
-        none = none or tag in NO_CONTENT or (tag == "header" and not main)
+        mark = tag == "form"
+        none = none or (tag in NO_CONTENT and not mark) or (tag == "header" and not main)
         if not none and attrs and tag not in ("html", "body", "article", "main"):
-            words = " ".join(values.get(k, "") for k in ("class", "id", "role")).lower().replace("-", " ").replace("_", " ")
-            none = not NO_CONTENT_WORDS.isdisjoint(words.split()) or "hidden" in values
-            none = none or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
-        if none and tag in INLINE:
+            mark = mark or marked(" ".join(values.get(k, "") for k in ("class", "id", "role")))
+            none = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
+        none, wrapper = none or (mark and main), wrapper or (mark and not main)
+        if (none or wrapper) and tag in INLINE:
             self.flush()
-        self.open.append((tag, main or tag in MAIN or values.get("role") == "main", none))
+        self.open.append((tag, main or tag in MAIN or values.get("role") == "main", none, wrapper))
 
     def _close_open(self, tag: str) -> None:
         """An open element of the same kind ends here, unless another block was opened inside it."""
@@ -93,7 +108,7 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                if tag not in INLINE or self.open[i][2]:
+                if tag not in INLINE or self.open[i][2] or self.open[i][3]:
                     self.flush()
                 del self.open[i:]
                 return
@@ -105,11 +120,16 @@ class _Reader(HTMLParser):
 
 
 def blocks(html: str) -> list[tuple[str, bool, bool]]:
+    """(text, in main content, in a no-content element) of every block in page order.
+
+    What a wrapper holds is no content, but for an article where the page has none outside of wrappers.
+    """
     reader = _Reader()
     reader.feed(html)
     reader.close()
     reader.flush()
-    return reader.blocks
+    free = any(main and not none and not wrapper for _, main, none, wrapper in reader.blocks)
+    return [(text, main, none or (wrapper and (free or not main))) for text, main, none, wrapper in reader.blocks]
 
 
 _STEP = stream(41, 1)[0] | np.uint64(1)

@@ -361,6 +361,18 @@ def test_alignment_decides_inside_and_outside_the_article(spark):
     assert got[30] == got[31] == "same text"
 
 
+def test_wrappers_of_an_article():
+    kept = lambda html: pages.kept_lines(pages.blocks(html), [])
+    article = "<article><p>own text<form><p>your name</form><div class='comments'><article>me too</article></div></article>"
+    wraps = ["<div class='no-sidebar'>{}</div>", "<div class='page has-sidebar'>{}</div>", "<div id=with_banner>{}</div>", "<form action=x>{}</form>",
+             "<div class='sidebar'>{}</div>", "<form><div class='social widget'><span class=ad>buy</span>{}</div></form>"]
+    for wrap in wraps:
+        assert kept("<nav>n</nav>" + wrap.format(article) + "<footer>f</footer>") == ["own text"], wrap
+    assert kept("<div class='no-sidebar'><p>plain</div><div class='site-footer'>f</div><form>search</form>") == ["plain"]
+    assert kept("<main><p>own</main><div class='related'><article>other</article></div>") == ["own"]
+    assert kept("<aside><article>other</article></aside><div hidden><article>gone</article></div><p>own") == ["own"]
+
+
 def test_common_lines():
     r = random.Random(4)
     for _ in range(200):
