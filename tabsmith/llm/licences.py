@@ -1,11 +1,14 @@
 """Licence scan by canonical digest lookup, in DataFrame functions only.
 
-A text is normalised (case, punctuation, copyright lines, equivalent spellings), hashed as a whole and
+A text is normalised (case, punctuation, copyright notices, equivalent spellings), hashed as a whole and
 looked up among the digests of known licence texts; so is each of its lines, for one-line notices.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,21 +55,75 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
+#: Whole licence texts beside this file, by their names.
+TEXTS = Path(__file__).parent / "licence_texts"
+#: Titles that a licence text may or may not carry.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "The ISC License (ISC)", "ISC License (ISC)", "ISC"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License",
+                     "BSD 2-Clause \"Simplified\" License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License",
+                     "BSD 3-Clause \"New\" or \"Revised\" License", "BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the whole licences, with each title and, where they have one, without the appendix."""
+    bodies = [("MIT", _MIT), ("ISC", _ISC)]
+    bodies += [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+    bsd = dict(bodies)["BSD-3-Clause"]
+    bodies.append(("BSD-2-Clause", re.sub(r"(?s)3\. Neither.*?\n\n", "", bsd)))
+    for old, new in (("the copyright holder nor", "the University nor"), ("the copyright holder nor", "the <organization> nor")):
+        bodies.append(("BSD-3-Clause", bsd.replace(old, new)))
+    for name, by in (("BSD-3-Clause", "THE REGENTS"), ("BSD-3-Clause", "THE AUTHOR"), ("BSD-2-Clause", "THE AUTHOR")):
+        # the older wording, which names who disclaims
+        body = next(t for n, t in reversed(bodies) if n == name).replace("the <organization> nor", "the University nor")
+        bodies.append((name, body.replace("THE COPYRIGHT HOLDERS AND", f"{by} AND").replace("THE COPYRIGHT HOLDER OR", f"{by} OR")))
+    bodies += [(n, re.sub(r"(?m)^\d\. ", "* ", t)) for n, t in bodies if n.startswith("BSD")]
+    # public domain texts end in a pointer to their home page, which copies leave out
+    bodies += [(n, re.sub(r"\n[^\n]*unlicense\.org[^\n]*", "", t)) for n, t in bodies if n == "Unlicense"]
+    ends = r"(?s)(END OF TERMS AND CONDITIONS).*"
+    bodies += [(n, short) for n, t in bodies for keep in (r"\1", "") if (short := re.sub(ends, keep, t)) != t]
+    return bodies + [(n, f"{title}\n\n{t}") for n, t in bodies for title in TITLES.get(n, ())]
+
+
+#: Where a notice ends that is not alone on its line: what licence texts go on with.
+_OPENING = (
+    r"\b(?:permission\s+(?:is\s+hereby|to\s+use)|redistribution\s+and\s+use|(?:re)?licen[sc]ed\s+under|released\s+under|distributed\s+under"
+    r"|everyone\s+is\s+permitted|this\s+(?:program|library|software|file|work)\b|gnomovision\s+comes|spdx-license-identifier)"
+)
+_YEAR = r"(?:\(c\)|©|(?:19|20)\d\d\b|<year>|\[yyyy\])"
+#: A notice up to the licence text behind it, on one line or wrapped, and one that has its line to itself: the
+#: sign, a year or a name after the word. ``copyright holders`` and the like are words of the licence.
+NOTICES = (
+    rf"(?is)(?:\bcopyright[\s:]+{_YEAR}|©)(?:(?!\n[ \t]*\n[ \t]*\n).){{0,400}}?(?={_OPENING})",
+    rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?i:copyright[ \t:]+(?:by[ \t]+)?{_YEAR}|©|\(c\)[ \t]*(?:19|20)\d\d\b|all rights reserved"
+    r"|copyright[ \t:]+(?:by[ \t]+)?(?!(?:holders?|owners?|notices?|laws?|licen[sc]\w*|and|or|of|in|on|is|to|for|as|by|statements?|rights?|treaty|"
+    r"interests?|infringements?|claims?|the\s+(?:software|library|program))\b)(?-i:\p{Lu}))"
+    rf"[^\n]*?(?=$|(?i:{_OPENING}))",
+)
+
+#: Lines that the SQL of the query leaves out; as ``NOTICES`` on lines that hold only a notice.
 COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines and punctuation, blanks and equivalent spellings made one."""
-    out = F.regexp_replace(F.lower(text), F.lit(COPYRIGHT), F.lit(""))
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    """Lower case, without copyright notices and punctuation, blanks and equivalent spellings made one."""
+    out = text
+    for notice in NOTICES:
+        out = F.regexp_replace(out, F.lit(notice), F.lit(""))
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for a, b in EQUIVALENT:
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(out)
 
 
-def known_licences(spark: SparkSession, texts=KNOWN) -> DataFrame:
-    """(licence, text) table of the built-in texts; callers add their own rows."""
-    return spark.createDataFrame(list(texts), "licence string, text string")
+def known_licences(spark: SparkSession, texts=None) -> DataFrame:
+    """(licence, text) table of the built-in texts, whole ones and notices; callers add their own rows."""
+    rows = [*KNOWN, *whole_texts()] if texts is None else list(texts)
+    return spark.createDataFrame(rows, "licence string, text string")
 
 
 def digests(known: DataFrame) -> DataFrame:

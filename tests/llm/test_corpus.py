@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -278,6 +279,31 @@ def test_licences(spark):
                     (4, "-", [], 0), (5, "-", [], 0), (6, "MIT", ["MIT"], 1)]
 
 
+def test_whole_licences_in_any_wrapping(spark):
+    names = ("Apache-2.0", "BSD-3-Clause", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "Unlicense", "CC0-1.0")
+    bodies = {n: (licences.TEXTS / f"{n}.txt").read_text() for n in names} | {"MIT": licences._MIT, "ISC": licences._ISC}
+    bodies["BSD-2-Clause"] = "".join(bodies["BSD-3-Clause"].partition("3. Neither")[::2]).replace(
+        bodies["BSD-3-Clause"].partition("3. Neither")[2].partition("THIS SOFTWARE")[0], "")
+    notice = "Copyright (c) 2020-2024 A. Author <a@b.org>. All rights reserved."
+    rows = []
+    for name, body in bodies.items():
+        given = [body, *(textwrap.fill(" ".join(body.split()), w, break_long_words=False, break_on_hyphens=False) for w in (50, 72, 91)), " ".join(body.split())]
+        if name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+            given += [f"{notice}\n\n{body}", f"{notice} {' '.join(body.split())}", "Copyright Jane Doe\n\n" + body, "Copyright (c) 2001 A\nCopyright (c) 2002 B\n\n" + body]
+            title = licences.TITLES[name][2]
+            given += [f"{title}\n\n{notice}\n\n{body}", f"{title} {notice} {' '.join(body.split())}"]
+        rows += [(name, t) for t in given]
+    rows += [("-", licences._MIT.replace("free of charge", "for a fee")), ("-", notice), ("-", "copyright holders be liable")]
+    wrapped = licences._MIT.replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT")
+    assert re.search("(?m)^COPYRIGHT HOLDERS BE LIABLE", wrapped)
+    rows.append(("MIT", wrapped))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licences.scan(docs, licences.known_licences(spark)).collect()}
+    bad = [(n, t[:60], len(t.split("\n"))) for i, (n, t) in enumerate(rows) if (got[i]["licence"] or "-") != n]
+    assert not bad
+    assert got[len(rows) - 3]["digest"] is None and got[len(rows) - 2]["digest"] is not None
+
+
 def test_length_histogram(spark):
     n = [0, 0, 3, 7, 7, 7, 1023, 1024, 5000, 5000, 100_000]
     hist = lengths.length_histogram(spark.createDataFrame([(x,) for x in [*n, None]], "n_tokens long"))
