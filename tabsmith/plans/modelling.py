@@ -32,9 +32,7 @@ def trained(spark: SparkSession, sf_dir: str, kind: str) -> models.TrainingRun:
             df = load(spark, sf_dir, "lineitem").withColumn(
                 "l_discount", F.when(F.expr("l_partkey % 5 <> 0"), F.col("l_discount"))
             )
-        # the families that finish quickly; the full list is the default of run_training
-        families = models.candidates("classification" if kind == "cls" else "regression", 3)[:2]
-        _RUNS[key] = models.run_training(df, target, LINEITEM_KEYS, 120, families=families)
+        _RUNS[key] = models.run_training(df, target, LINEITEM_KEYS)
     return _RUNS[key]
 
 
@@ -101,8 +99,7 @@ def training_report(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job on lineitem: explore, prepare, search, evaluate, save; returns its report."""
     root = scratch_path(spark, "workspace")
-    families = models.candidates("classification", 3)[:2]
-    run = training_job(load(spark, sf_dir, "lineitem"), "l_returnflag", LINEITEM_KEYS, root, 60, families=families)
+    run = training_job(load(spark, sf_dir, "lineitem"), "l_returnflag", LINEITEM_KEYS, root)
     return spark.read.parquet(JobPaths(root).artifact(run.job_id, "training"))
 
 
@@ -111,10 +108,9 @@ def training_job_query(spark, sf_dir):
     """Status of a finished and of a failed job over the whole orders table, folded from their events."""
     root = scratch_path(spark, "workspace")
     df = holed_orders(spark, sf_dir)
-    families = models.candidates("classification", 3)[:1]
-    training_job(df, "o_orderstatus", ["o_orderkey"], root, 60, families=families, job_id="good")
+    training_job(df, "o_orderstatus", ["o_orderkey"], root, job_id="good")
     try:
-        training_job(df, "no_such_column", ["o_orderkey"], root, 60, families=families, job_id="bad")
+        training_job(df, "no_such_column", ["o_orderkey"], root, job_id="bad")
     except ValueError:
         pass
     return ledger.apply_status(status_events(spark, JobPaths(root)))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tabsmith.operators import ledger, metrics, models, scoring
 from tabsmith.operators.split import train_test_split
 from tabsmith.operators.job import JobPaths, status_events, training_job
+from tabsmith.plans import modelling
 from tabsmith.session import scratch_path
 from tabsmith.sources.packages import load_package, save_package
 from tabsmith.sources.tables import discover, discovered_paths, read_table, write_predictions
@@ -198,3 +199,24 @@ def test_search_tries_all_families(spark):
     assert {name.split()[0] for name in tried} == {"linear", "tree", "rf", "gbt", "extra"}
     assert models.search_space("regression", 0)[0][0] == "linear"
     assert [n for n, _ in models.search_space("regression", 0)] == [n for n, _ in models.search_space("regression", 0)]
+
+
+def test_registered_training_runs_the_whole_search(spark, monkeypatch):
+    """No registered query shortens the list of families or the budget."""
+    seen = []
+
+    def record(df, target, keys, *args, **kwargs):
+        seen.append((args, {k: v for k, v in kwargs.items() if k != "job_id"}))
+        raise RuntimeError("seen")
+
+    monkeypatch.setattr(models, "run_training", record)
+    monkeypatch.setattr(modelling, "training_job", lambda df, target, keys, root, *a, **k: record(df, target, keys, *a, **k))
+    monkeypatch.setattr(modelling, "holed_lineitem", lambda *a: None)
+    monkeypatch.setattr(modelling, "holed_orders", lambda *a: None)
+    monkeypatch.setattr(modelling, "load", lambda *a: spark.range(1).selectExpr("id l_partkey", "id l_discount"))
+    monkeypatch.setattr(modelling, "_RUNS", {})
+    for run in (lambda: modelling.trained(spark, "x", "cls"), lambda: modelling.trained(spark, "x", "reg"),
+                lambda: modelling.flagship(spark, "x"), lambda: modelling.training_job_query(spark, "x")):
+        with pytest.raises(RuntimeError, match="seen"):
+            run()
+    assert seen == [((), {})] * 4
