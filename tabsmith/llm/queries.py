@@ -9,7 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import decontaminate, divergence, katz, language, lengths, licences, minhash, pages, pieces, suffix
+from tabsmith.llm import (
+    decontaminate, divergence, katz, language, lengths, licences, minhash, pages, phrases, pieces, suffix,
+)
 
 #: The vocabulary file of the piece queries; a path of the driver.
 PIECES = os.environ.get("TABSMITH_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -214,3 +216,33 @@ def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_katz")
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.fit_and_score(load(spark, sf_dir, "documents"))[1]
+
+
+_PIECE_END = "[.,;:!?\\x0A-\\x0D]"
+_PHRASES_SQL = f"""
+WITH p AS (SELECT COALESCE(lang, 'und') AS lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w
+           FROM (SELECT lang, UNNEST(regexp_split_to_array({_LOW}, '{_PIECE_END}')) AS piece FROM documents)),
+f1 AS (SELECT lang, g, COUNT(*) AS f FROM (SELECT lang, UNNEST(w) AS g FROM p) GROUP BY 1, 2),
+total AS (SELECT lang, SUM(f)::BIGINT AS n FROM f1 GROUP BY 1),
+f2 AS (SELECT lang, x, y, COUNT(*) AS f FROM (SELECT lang, w[i] AS x, w[i + 1] AS y FROM (SELECT lang, w, UNNEST(range(1, len(w))) AS i FROM p))
+       GROUP BY 1, 2, 3),
+f3 AS (SELECT lang, x, y, z, COUNT(*) AS f FROM (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, w, UNNEST(range(1, len(w) - 1)) AS i FROM p))
+       GROUP BY 1, 2, 3, 4 HAVING COUNT(*) >= {phrases.MIN_COUNT}),
+longer AS (SELECT lang, x, y, MAX(f) AS f FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY 1, 2, 3),
+two AS (SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, f2.f AS a, p.f AS l, q.f AS r
+        FROM f2 JOIN f1 p ON p.lang = f2.lang AND p.g = f2.x JOIN f1 q ON q.lang = f2.lang AND q.g = f2.y LEFT JOIN longer ON longer.lang = f2.lang AND longer.x = f2.x AND longer.y = f2.y
+        WHERE f2.f >= {phrases.MIN_COUNT} AND NOT 100 * COALESCE(longer.f, 0) >= {phrases.INSIDE_PERCENT} * f2.f),
+cut AS (SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z AS phrase, f3.f AS a, p.f AS l1, v.f AS r1, u.f AS l2, q.f AS r2
+        FROM f3 JOIN f1 p ON p.lang = f3.lang AND p.g = f3.x JOIN f1 q ON q.lang = f3.lang AND q.g = f3.z
+        JOIN f2 u ON u.lang = f3.lang AND u.x = f3.x AND u.y = f3.y JOIN f2 v ON v.lang = f3.lang AND v.x = f3.y AND v.y = f3.z),
+cuts AS (SELECT lang, phrase, a, l, r, {phrases.SCALE}::HUGEINT * a * a // (l::HUGEINT * r) AS score, 1 AS k FROM two
+         UNION ALL SELECT lang, phrase, a, l1, r1, {phrases.SCALE}::HUGEINT * a * a // (l1::HUGEINT * r1), 1 FROM cut
+         UNION ALL SELECT lang, phrase, a, l2, r2, {phrases.SCALE}::HUGEINT * a * a // (l2::HUGEINT * r2), 2 FROM cut),
+low AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pick FROM cuts) WHERE pick = 1),
+placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM placed JOIN total USING (lang) WHERE rank <= {phrases.TOP}"""
+
+
+@query("op13_collocations", _PHRASES_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(load(spark, sf_dir, "documents"))

@@ -33,12 +33,15 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 SPACE = np.zeros(256, bool)
 SPACE[list(SEPARATORS)] = True
-_LETTER = stream(1, 256)
-_LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
 _PLACE = stream(2, 1024) | np.uint64(1)
 _STEP = stream(3, 64) | np.uint64(1)
 
 
+def _places(n: int) -> np.ndarray:
+    """Odd weights of the first n byte positions of a word; no two positions share one by period."""
+    return _PLACE if n <= len(_PLACE) else stream(2, n) | np.uint64(1)
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column and its n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -62,7 +65,19 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def letters(seed: int) -> np.ndarray:
+    """The byte values of a word hash; A-Z count as a-z."""
+    out = stream(seed, 256)
+    out[65:91] = out[97:123]
+    return out
+
+
+_LETTER = letters(1)
+
+
+def words(
+    data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, letter: np.ndarray = _LETTER
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, length) of each word and the word range of each document.
 
     Words are runs without a separator inside one document; A-Z are hashed as a-z.
@@ -70,7 +85,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(data):
         empty = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), empty, empty, np.zeros(len(offsets), np.int64)
-    solid = ~SPACE[data]
+    solid = ~space[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
@@ -83,7 +98,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     heads_at = np.searchsorted(at, begin)
     length = np.diff(np.append(heads_at, len(at)))
     place = np.arange(len(at)) - np.repeat(heads_at, length)
-    value = _LETTER[data[at]] * _PLACE[place & 1023]
+    value = letter[data[at]] * _places(int(length.max()))[place]
     h = mix(np.add.reduceat(value, heads_at) + length.astype(np.uint64))
     return h, begin, length, np.searchsorted(begin, offsets)
 
