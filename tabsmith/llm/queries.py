@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.llm import (
     decontaminate, divergence, katz, language, lengths, licences, minhash, pages, phrases, pieces, suffix,
+    tries,
 )
 
 #: The vocabulary file of the piece queries; a path of the driver.
@@ -246,3 +247,31 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM placed JOIN t
 @query("op13_collocations", _PHRASES_SQL)
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(load(spark, sf_dir, "documents"))
+
+
+_TRIE_SQL = """
+WITH t AS (SELECT conv_id, turn, octet_length(encode(COALESCE(text, '')))::BIGINT AS b,
+                  sha256(octet_length(encode(COALESCE(role, '')))::VARCHAR || ':' || COALESCE(role, '') || COALESCE(text, '')) AS d
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'d': d, 'b': b} ORDER BY turn NULLS FIRST, substr(d, 1, 32)) AS own FROM t GROUP BY 1),
+c AS (SELECT conv_id, own, conv_id - conv_id % 5 AS base_id, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+        lambda a, x: list_reduce([xor(a, x)] || range(8), lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 9 AS h FROM o),
+r AS (SELECT c.conv_id, list_concat(list_slice(COALESCE(base.own, []), 1, c.h), list_slice(c.own, c.h + 1, len(c.own))) AS seq
+      FROM c LEFT JOIN o base ON base.conv_id = base_id),
+s AS (SELECT conv_id, seq, len(seq) AS n, UNNEST(range(0, len(seq) + 1)) AS depth FROM r),
+p AS (SELECT conv_id, n, depth, md5(array_to_string(list_transform(list_slice(seq, 1, depth), lambda x: x.d), ',')) AS node,
+             CASE WHEN depth > 0 THEN md5(array_to_string(list_transform(list_slice(seq, 1, depth - 1), lambda x: x.d), ',')) END AS parent,
+             CASE WHEN depth > 0 THEN seq[depth].b ELSE 0 END AS b FROM s),
+g AS (SELECT depth, node, parent, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, ANY_VALUE(b) AS b,
+             sha256(COALESCE(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM p GROUP BY 1, 2, 3),
+kids AS (SELECT depth - 1 AS depth, parent AS node, COUNT(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT g.*, COALESCE(n_children, 0) AS n_children FROM g LEFT JOIN kids USING (depth, node)),
+below AS (SELECT p.depth, p.node, SUM(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, SUM((f.n_convs - 1) * f.b)::BIGINT AS saved_tokens
+          FROM f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY 1, 2)
+SELECT f.conv_id, f.depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM f JOIN below USING (depth, node) LEFT JOIN g up ON up.depth = f.depth - 1 AND up.node = f.parent"""
+
+
+@query("op12_prefix_trie", _TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(*tries.rebuilt_turns(tries.placed_turns(load(spark, sf_dir, "conversations"))))
