@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tabsmith.llm import (
     decontaminate, divergence, katz, language, lengths, licences, minhash, pages, phrases, pieces, suffix,
-    tries,
+    tries, warc,
 )
+from tabsmith.session import scratch_path
 
 #: The vocabulary file of the piece queries; a path of the driver.
 PIECES = os.environ.get("TABSMITH_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -275,3 +276,16 @@ FROM f JOIN below USING (depth, node) LEFT JOIN g up ON up.depth = f.depth - 1 A
 @query("op12_prefix_trie", _TRIE_SQL)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(*tries.rebuilt_turns(tries.placed_turns(load(spark, sf_dir, "conversations"))))
+
+
+_WARC_SQL = f"""
+WITH r AS (SELECT page_id, encode(COALESCE(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
+             CASE WHEN octet_length(payload) >= {warc.MIN_REVISIT_BYTES} THEN MAX(page_id) OVER (PARTITION BY payload) END AS leader FROM r)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> leader THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> leader THEN leader END AS refers_to FROM d"""
+
+
+@query("op11_warc_bundles", _WARC_SQL)
+def op11_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(load(spark, sf_dir, "pages"), scratch_path(spark, "archive"))
