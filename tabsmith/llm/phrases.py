@@ -1,6 +1,6 @@
 """Phrase collocations: word n-grams of FM-indexed shards, summed over shards and scored exactly.
 
-A shard is about a million words of one task. Its text, as word ids with a 0 behind every piece, is
+A shard is about half a million words of one task. Its text, as word ids with a 0 behind every piece, is
 sorted in both directions to the depth of the longest phrase, which is all that intervals of phrases up
 to that length need. A phrase is an interval of rows in either index; one more word to the right is
 found in the backward index (whose transform holds the following word), one more to the left in the
@@ -31,9 +31,9 @@ from tabsmith.session import scratch_path
 
 MIN_COUNT, INSIDE_PERCENT, TOP = 10, 50, 2000
 SCALE = 1_000_000
-SHARD_WORDS = 1 << 20
-CHUNK = 1 << 20
-OUT_ROWS = 1 << 18
+SHARD_WORDS = 1 << 19
+CHUNK = 1 << 18
+OUT_ROWS = 1 << 17
 #: Bits of the table of frequent pairs: 8 MB, whatever the corpus.
 TABLE_BITS = 26
 SALTS = 64
@@ -53,7 +53,7 @@ _LOWER[65:91] += 32
 def _order(first: np.ndarray, second: np.ndarray, third: np.ndarray, size: int) -> np.ndarray:
     """Rows by their three words; ids below 2^21 fit one 63-bit key."""
     if size < 1 << 21:
-        return np.argsort(((first.astype(np.int64) << 21) + second << 21) + third, kind="stable")
+        return np.argsort(((first.astype(np.int64) << 21) + second << 21) + third)
     return np.lexsort((third, second, first))
 
 
@@ -125,7 +125,7 @@ def _language_hash(lang: str) -> int:
 
 
 def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(first row, end row, first byte, end byte) of about a megabyte; long texts are cut behind a stop."""
+    """(first row, end row, first byte, end byte) of about 256 KB; long texts are cut behind a stop."""
     for lo, hi in slices(offsets, CHUNK):
         a, b = int(offsets[lo]), int(offsets[hi])
         while hi - lo == 1 and b - a > 2 * CHUNK:
@@ -139,7 +139,7 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, i
 
 
 class Shard:
-    """Words of the texts read so far: their keys, where pieces start, and the text of each key."""
+    """Words of the texts read so far: their keys, where pieces start, and where the text of each stands."""
 
     def __init__(self, seed: int, keep_text: bool):
         self.letter, self.keep_text = letters(seed), keep_text
@@ -148,7 +148,7 @@ class Shard:
 
     def clear(self) -> None:
         self.keys, self.starts, self.n = [], [], 0
-        self.names: dict[int, tuple[str, bytes]] = {}
+        self.text, self.begin, self.length, self.lang, self.size = [], [], [], [], 0
 
     def add(self, data: np.ndarray, offsets: np.ndarray, langs: list[str]) -> None:
         """Texts of one chunk."""
@@ -163,25 +163,35 @@ class Shard:
         stops = np.cumsum(_STOP[data])[begin]
         start = np.concatenate(([True], (stops[1:] != stops[:-1]) | (doc[1:] != doc[:-1])))
         if self.keep_text:
-            fresh, at = np.unique(key, return_index=True)
-            text = _LOWER[data].tobytes()
-            for k, i in zip(fresh.tolist(), at.tolist()):
-                if k not in self.names:
-                    self.names[k] = (langs[doc[i]], text[begin[i] : begin[i] + length[i]])
+            known = list(self.hashes)
+            self.text.append(_LOWER[data])
+            self.begin.append(begin + self.size)
+            self.length.append(length)
+            self.lang.append(np.array([known.index(x) for x in langs], np.int32)[doc])
+            self.size += len(data)
         self.keys.append(key)
         self.starts.append(start)
         self.n += len(key)
 
-    def index(self, forward: bool) -> tuple[Index, np.ndarray]:
-        """The index and the key of each id (id 0 has none)."""
+    def index(self, forward: bool) -> tuple[Index, np.ndarray, np.ndarray]:
+        """The index, the key of each id (id 0 has none) and a place among the words for every key."""
         keys = np.concatenate(self.keys)
-        known, ids = np.unique(keys, return_inverse=True)
+        known, at, ids = np.unique(keys, return_index=True, return_inverse=True)
         start = np.concatenate(self.starts)
         # one 0 before every piece and one behind the last
         place = np.arange(len(ids)) + np.cumsum(start)
         text = np.zeros(len(ids) + int(start.sum()) + 1, np.int32)
         text[place] = ids + 1
-        return Index(text, len(known) + 1, forward), np.concatenate((np.zeros(1, np.uint64), known))
+        return Index(text, len(known) + 1, forward), np.concatenate((np.zeros(1, np.uint64), known)), at
+
+    def names(self, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Language and lower-cased text of the words at these places."""
+        text, begin, length, lang = (np.concatenate(x) for x in (self.text, self.begin, self.length, self.lang))
+        begin, length = begin[at], length[at]
+        offsets = np.concatenate(([0], np.cumsum(length)))
+        data = text[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], length)]
+        word = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+        return pa.array(list(self.hashes)).take(pa.array(lang[at])), word.cast(pa.string())
 
 
 def _shards(batches: Iterator[pa.RecordBatch], seed: int, keep_text: bool) -> Iterator[Shard]:
@@ -213,13 +223,9 @@ def _pairs(seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, seed, True):
-            index, key = shard.index(False)
+            index, key, at = shard.index(False)
             one = index.single()
-            names = [shard.names[k] for k in key[1:].tolist()]
-            columns = [
-                _signed(key[1:]), pa.nulls(len(names), pa.int64()), pa.array([x for x, _ in names], pa.string()),
-                pa.array([w for _, w in names], pa.binary()).cast(pa.string()), pa.array(one.count),
-            ]
+            columns = [_signed(key[1:]), pa.nulls(len(at), pa.int64()), *shard.names(at), pa.array(one.count)]
             yield from _cut(pa.RecordBatch.from_arrays(columns, schema=schema))
             two = index.extend(one, True, both=False)
             nothing = pa.nulls(len(two.count), pa.string())
@@ -264,7 +270,7 @@ def _triples(seed: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, seed, False):
             table = np.frombuffer(shared.value, np.uint8)
-            index, key = shard.index(True)
+            index, key, _ = shard.index(True)
             two = index.extend(index.single(), True, both=False)
             two = two.where(_holds(table, key[two.columns[0]], key[two.columns[1]]))
             three = index.extend(two, False, both=False)
