@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import random
+import threading
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,7 @@ from pyspark.sql import types as T
 from tabsmith.operators import metrics as M
 from tabsmith.operators.detect import time_budget
 from tabsmith.operators.prepare import SPLIT_COLUMN, Prepared, preprocess
+from tabsmith.operators.trees import ExtraTrees, SoftmaxBoosting
 from tabsmith.session import scratch_path
 
 FEATURE_PREFIX = "_x_"
@@ -37,6 +41,10 @@ LABEL = "_label"
 PATIENCE = 6
 FOLDS = 10
 SEED = 42
+#: Candidates fitted at the same time.
+PARALLEL = 3
+#: The refit is expected to take this many times the trial of the same candidate.
+REFIT_SHARE = 1.2
 
 
 def model_input(c: Column, dtype: T.DataType) -> Column:
@@ -73,7 +81,7 @@ def candidates(problem_type: str, class_count: int) -> list[tuple[str, Estimator
         ]
     boosted: Estimator = GBTClassifier(maxIter=10, maxDepth=4, seed=SEED, **cols)
     if class_count > 2:
-        boosted = OneVsRest(classifier=boosted, **cols)
+        boosted = SoftmaxBoosting(class_count, rounds=10, depth=4, seed=SEED, label=LABEL)
     return [
         ("tree", DecisionTreeClassifier(maxDepth=6, seed=SEED, **cols)),
         ("linear", LogisticRegression(maxIter=20, **cols)),
@@ -90,22 +98,23 @@ def search_space(problem_type: str, class_count: int, seed: int = SEED) -> list[
     single = DecisionTreeRegressor if regression else DecisionTreeClassifier
     boosting = GBTRegressor if regression else GBTClassifier
 
-    def boosted(**settings) -> Estimator:
-        one = boosting(**settings, **cols)
-        several = not regression and class_count > 2
-        return OneVsRest(classifier=one, featuresCol="features", labelCol=LABEL) if several else one
+    def boosted(rounds: int, depth: int, step: float = 0.1) -> Estimator:
+        if not regression and class_count > 2:
+            return SoftmaxBoosting(class_count, rounds, depth, step, seed, LABEL)
+        return boosting(maxIter=rounds, maxDepth=depth, stepSize=step, **cols)
+
+    def extra(trees: int, depth: int) -> Estimator:
+        return ExtraTrees(0 if regression else max(class_count, 2), trees, depth, seed=seed, label=LABEL)
 
-    # trees on all rows with few features each: the nearest to extremely random ones
-    extra = {"bootstrap": False, "featureSubsetStrategy": "sqrt"}
     first = candidates(problem_type, class_count)
-    first.append(("extra", forest(numTrees=20, maxDepth=6, **extra, **cols)))
+    first.append(("extra", extra(20, 6)))
     more = [
         ("tree depth=10 rows=5", single(maxDepth=10, minInstancesPerNode=5, **cols)),
         ("rf trees=40 depth=10", forest(numTrees=40, maxDepth=10, **cols)),
         ("rf trees=40 depth=8 rows=10", forest(numTrees=40, maxDepth=8, minInstancesPerNode=10, **cols)),
-        ("extra trees=40 depth=10", forest(numTrees=40, maxDepth=10, **extra, **cols)),
-        ("gbt rounds=20 depth=5", boosted(maxIter=20, maxDepth=5)),
-        ("gbt rounds=30 depth=3 step=0.05", boosted(maxIter=30, maxDepth=3, stepSize=0.05)),
+        ("extra trees=40 depth=10", extra(40, 10)),
+        ("gbt rounds=20 depth=5", boosted(20, 5)),
+        ("gbt rounds=30 depth=3 step=0.05", boosted(30, 3, 0.05)),
     ]
     random.Random(seed).shuffle(more)
     return first + more
@@ -140,11 +149,42 @@ def metric_value(scored: DataFrame, metric: str) -> float:
 
 @dataclass
 class Search:
+    """``trials`` are the judged candidates in their order, ``cut_off`` the others that were started: name, seconds, why."""
+
     model: Model
     best: str
     metric: str
     trials: list[tuple[str, float, float]]
     seconds: float
+    cut_off: list[tuple[str, float, str]] = field(default_factory=list)
+    refitted: bool = True
+
+
+class _Attempt(threading.Thread):
+    """One piece of work in a thread of its own, whose Spark jobs carry a tag by which they are cancelled."""
+
+    def __init__(self, context, work: Callable[[], object]):
+        super().__init__(daemon=True)
+        self.context, self.work, self.tag = context, work, f"tabsmith-{uuid.uuid4().hex}"
+        self.began, self.seconds = time.monotonic(), 0.0
+        self.result: object = None
+        self.error: Exception | None = None
+
+    def run(self) -> None:
+        self.context.addJobTag(self.tag)
+        try:
+            self.result = self.work()
+        except Exception as e:  # noqa: BLE001 - the search decides what an error means
+            self.error = e
+        finally:
+            self.seconds = time.monotonic() - self.began
+            self.context.clearJobTags()
+
+    def cancel(self) -> None:
+        """Cancel until the thread has ended: between two jobs of a fit there is nothing to cancel."""
+        while self.is_alive():
+            self.context.cancelJobsWithTag(self.tag)
+            self.join(0.05)
 
 
 def select_model(
@@ -155,34 +195,98 @@ def select_model(
     metric: str = "auto",
     patience: int = PATIENCE,
     families: list[tuple[str, Estimator]] | None = None,
+    parallel: int = PARALLEL,
 ) -> Search:
     """Fit candidates (all of ``search_space`` by default) on nine tenths of ``train`` (columns features, label), judge them on the rest,
     refit the best on all of it.
 
-    The budget is checked between candidates and at least one is always finished; the search also
-    stops after ``patience`` candidates without a gain. The tenth is chosen by a hash of the row.
+    ``parallel`` candidates are fitted at a time. The budget is wall-clock time of search and refit: when only
+    the time the refit needs is left, what still runs is cancelled, and a refit that would pass the budget is
+    cancelled too and leaves the model of the trial. One candidate, the first of those running, is always
+    finished. The search also stops after ``patience`` candidates, in their order, without a gain, whatever
+    later ones gave; so without a deadline the choice does not depend on which of them ended first. A
+    candidate that fails is left out; if all fail, the first error is raised. The tenth is chosen by a hash
+    of the row.
     """
     wanted = selection_metric(problem_type, class_count) if metric == "auto" else metric
-    fold = F.pmod(F.xxhash64("features", LABEL), F.lit(FOLDS))
-    judged = judged_fold(train, fold)
-    # very few rows: they are fitted and judged together
-    fit_part, judge_part = (train, train) if judged is None else (train.where(fold != judged), train.where(fold == judged))
     start = time.monotonic()
-    trials: list[tuple[str, float, float]] = []
-    best: tuple[float, str, Estimator] | None = None
-    stale = 0
-    for name, estimator in families or search_space(problem_type, class_count):
-        if best is not None and (time.monotonic() - start >= budget_s or stale >= patience):
+    context = train.sparkSession.sparkContext
+    fold = F.pmod(F.xxhash64("features", LABEL), F.lit(FOLDS))
+    rows = train.select("features", LABEL, fold.alias("fold")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        judged = judged_fold(rows, F.col("fold"))
+        # very few rows: they are fitted and judged together
+        fit_part, judge_part = (rows, rows) if judged is None else (rows.where(F.col("fold") != judged), rows.where(F.col("fold") == judged))
+
+        def attempt(estimator: Estimator) -> tuple[float, Model]:
+            model = estimator.fit(fit_part)
+            return metric_value(model.transform(judge_part), wanted), model
+
+        queue = families or search_space(problem_type, class_count)
+        attempts: dict[int, _Attempt] = {}
+        spent = lambda: time.monotonic() - start
+        while True:
+            done = [i for i, a in attempts.items() if not a.is_alive()]
+            judged_ones = [i for i in sorted(done) if attempts[i].error is None]
+            ahead = _before_patience(attempts, patience)
+            best = max((i for i in judged_ones if i in ahead.kept), key=lambda i: (attempts[i].result[0], -i), default=None)
+            reserve = 0.0 if best is None else REFIT_SHARE * attempts[best].seconds
+            late = spent() + reserve >= budget_s
+            if (late and best is not None) or ahead.ended or (len(done) == len(queue)):
+                break
+            running = [i for i in attempts if attempts[i].is_alive()]
+            if late and running:
+                for i in running[1:]:
+                    attempts[i].cancel()
+                running = running[:1]
+            if len(attempts) < len(queue) and len(running) < (1 if late else parallel):
+                i = len(attempts)
+                attempts[i] = _Attempt(context, lambda estimator=queue[i][1]: attempt(estimator))
+                attempts[i].start()
+                continue
+            time.sleep(0.02)
+        # when time ran out every judged candidate counts, else those before patience ended
+        counted = [i for i in judged_ones if i in ahead.kept] if ahead.ended else judged_ones
+        why = {i: "patience" if ahead.ended else "deadline" for i in attempts if i not in counted}
+        for i in why:
+            if attempts[i].is_alive():
+                attempts[i].cancel()
+            elif attempts[i].error is not None and not late:
+                why[i] = "failed"
+        if not counted:
+            raise next(a.error for a in attempts.values() if a.error is not None)
+        best = max(counted, key=lambda i: (attempts[i].result[0], -i))
+        trials = [(queue[i][0], attempts[i].result[0], attempts[i].seconds) for i in counted]
+        cut_off = [(queue[i][0], attempts[i].seconds, why[i]) for i in sorted(why)]
+        refit = _Attempt(context, lambda: queue[best][1].fit(rows))
+        refit.start()
+        refit.join(max(budget_s - spent(), 0.0))
+        refit.cancel()
+        model = attempts[best].result[1] if refit.error is not None or refit.result is None else refit.result
+        return Search(model, queue[best][0], wanted, trials, spent(), cut_off, refit.result is not None)
+    finally:
+        rows.unpersist()
+
+
+@dataclass
+class _Ahead:
+    kept: set[int]
+    ended: bool
+
+
+def _before_patience(attempts: dict[int, _Attempt], patience: int) -> _Ahead:
+    """The candidates, in their order, up to the one that exhausts the patience; later ones do not count."""
+    best, stale, kept = None, 0, set(attempts)
+    for i in range(len(attempts)):
+        if attempts[i].is_alive():
             break
-        began = time.monotonic()
-        score = metric_value(estimator.fit(fit_part).transform(judge_part), wanted)
-        trials.append((name, score, time.monotonic() - began))
-        if best is None or score > best[0]:
-            best, stale = (score, name, estimator), 0
+        if attempts[i].error is None and (best is None or attempts[i].result[0] > best):
+            best, stale = attempts[i].result[0], 0
         else:
             stale += 1
-    model = best[2].fit(train)
-    return Search(model, best[1], wanted, trials, time.monotonic() - start)
+        if best is not None and stale >= patience:
+            return _Ahead(set(range(i + 1)), True)
+    return _Ahead(kept, False)
 
 
 def feature_importance(model: Model, features: Sequence[str], train: DataFrame | None = None) -> list[tuple[str, float]]:
@@ -203,8 +307,8 @@ def feature_importance(model: Model, features: Sequence[str], train: DataFrame |
             size = [abs(float(v)) for v in model.coefficients.toArray()]
         spread = [1.0] * len(features)
         if train is not None:
-            row = train.agg(*[F.stddev_pop(internal_name(c)).alias(f"s{i}") for i, c in enumerate(features)]).first()
-            spread = [float(v or 0.0) for v in row]
+            row = train.agg(Summarizer.std(F.col("features")).alias("s")).first()
+            spread = [0.0] * len(features) if row["s"] is None else [float(v) for v in row["s"].toArray()]
         weighted = [s * d for s, d in zip(size, spread)]
         total = sum(weighted)
         values = [v / total for v in weighted] if total > 0 else None
@@ -241,6 +345,7 @@ class TrainingRun:
     prepared: Prepared
     test: DataFrame
     config: dict[str, object]
+    cut_off: list[tuple[str, float, str]] = field(default_factory=list)
 
 
 def labelled(prepared: Prepared) -> tuple[DataFrame, DataFrame | None]:
@@ -264,21 +369,18 @@ def fit_package(prepared: Prepared, budget_s: float, metric: str = "auto", patie
                 families: list[tuple[str, Estimator]] | None = None) -> tuple[Package, Search, DataFrame]:
     """Search on the train part; returns the package, the search and the labelled test part.
 
-    The labelled table is written once to the shared folder: every candidate makes several passes
-    over it and none should repeat the encoding joins.
+    The labelled table is written once to the shared folder as vectors: every candidate makes several
+    passes over it and none should repeat the encoding joins or assemble the vectors again.
     """
     spark = prepared.df.sparkSession
     features = prepared.feature_columns
     table, labels = labelled(prepared)
-    slim = with_inputs(table, features).select(
-        *[internal_name(c) for c in features], LABEL, SPLIT_COLUMN
-    ).where(F.col(LABEL).isNotNull())
+    slim = assembler(features).transform(with_inputs(table, features)).select("features", LABEL, SPLIT_COLUMN)
     path = scratch_path(spark, "prepared")
-    slim.write.parquet(path)
+    slim.where(F.col(LABEL).isNotNull()).write.parquet(path)
     stored = spark.read.parquet(path)
-    assembled = assembler(features).transform(stored)
-    train = assembled.where(F.col(SPLIT_COLUMN) == "train")
-    test = assembled.where(F.col(SPLIT_COLUMN) == "test")
+    train = stored.where(F.col(SPLIT_COLUMN) == "train").select("features", LABEL)
+    test = stored.where(F.col(SPLIT_COLUMN) == "test").select("features", LABEL)
     search = select_model(train, prepared.problem_type, prepared.class_count, budget_s, metric, patience, families)
     package = Package(
         pipeline=PipelineModel([assembler(features), search.model]),
@@ -326,12 +428,13 @@ def run_training(
         "time_budget": budget_s, "rows": prepared.row_count, "columns": len(df.columns),
         "metric": search.metric, "best_estimator": search.best,
     }
-    return TrainingRun(job_id or uuid.uuid4().hex, package, values, search.trials, prepared, test, config)
+    return TrainingRun(job_id or uuid.uuid4().hex, package, values, search.trials, prepared, test, config, search.cut_off)
 
 
 def trial_table(run: TrainingRun) -> DataFrame:
+    """One row per candidate that was started, also of those that were cut off or failed (without a score)."""
     spark = run.prepared.df.sparkSession
-    rows = [(run.package.problem_type, n, s, n == run.package.best_estimator) for n, s, _ in run.trials]
-    return spark.createDataFrame(rows, "problem_type string, family string, score double, is_best boolean")
-
-
+    kind, best = run.package.problem_type, run.package.best_estimator
+    rows = [(kind, n, s, n == best, "judged", t) for n, s, t in run.trials]
+    rows += [(kind, n, None, False, why, t) for n, t, why in run.cut_off]
+    return spark.createDataFrame(rows, "problem_type string, family string, score double, is_best boolean, state string, seconds double")

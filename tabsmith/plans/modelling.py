@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.operators import ledger, metrics, models, prepare, scoring
+from tabsmith.operators import ledger, metrics, models, prepare, scoring, trees
 from tabsmith.operators.job import JobPaths, status_events, training_job
 from tabsmith.operators.report import training_report as build_report
 from tabsmith.plans.catalog import TABLES, facts_sql, load, query
@@ -20,6 +23,8 @@ from tabsmith.sources.tables import CSV, discover, read_predictions, read_table,
 from tabsmith.streaming.scoring import score_stream as start_score_stream
 
 _RUNS: dict[tuple[str, str, str], models.TrainingRun] = {}
+#: Empty: the operator's own budget by row count. The bench sets one of seconds, which it prints.
+BUDGET: tuple[float, ...] = ()
 
 
 def trained(spark: SparkSession, sf_dir: str, kind: str) -> models.TrainingRun:
@@ -32,7 +37,7 @@ def trained(spark: SparkSession, sf_dir: str, kind: str) -> models.TrainingRun:
             df = load(spark, sf_dir, "lineitem").withColumn(
                 "l_discount", F.when(F.expr("l_partkey % 5 <> 0"), F.col("l_discount"))
             )
-        _RUNS[key] = models.run_training(df, target, LINEITEM_KEYS)
+        _RUNS[key] = models.run_training(df, target, LINEITEM_KEYS, *BUDGET)
     return _RUNS[key]
 
 
@@ -46,6 +51,92 @@ def select_model_reg(spark, sf_dir):
     return models.trial_table(trained(spark, sf_dir, "reg"))
 
 
+@query("search_properties", """
+SELECT kind AS problem_type, TRUE AS best_is_highest, TRUE AS all_have_scores, TRUE AS known_states, TRUE AS within_budget
+FROM (VALUES ('classification'), ('regression')) t(kind)""")
+def search_properties(spark, sf_dir):
+    """What must hold of a search: the best is the first of the highest score, and search with refit keep to the budget."""
+    def facts(kind):
+        run = trained(spark, sf_dir, kind)
+        judged = F.col("state") == "judged"
+        return models.trial_table(run).groupBy("problem_type").agg(
+            (F.max(F.when(F.col("is_best"), F.col("score"))) == F.max("score")).alias("best_is_highest"),
+            F.every(F.when(judged, F.col("score").isNotNull()).otherwise(F.col("score").isNull())).alias("all_have_scores"),
+            F.every(F.col("state").isin("judged", "deadline", "patience")).alias("known_states"),
+            F.lit(run.metrics["training_time"] <= 1.1 * run.config["time_budget"]).alias("within_budget"),
+        )
+
+    return facts("cls").unionByName(facts("reg"))
+
+
+@query("evaluation_properties", """
+SELECT kind AS problem_type, 0::BIGINT AS differing, TRUE AS has_time, TRUE AS has_family FROM (VALUES ('classification'), ('regression')) t(kind)""")
+def evaluation_properties(spark, sf_dir):
+    """The metrics in the record of a run are those of its stored package over the held-out rows."""
+    def facts(kind):
+        run = trained(spark, sf_dir, kind)
+        again = models.evaluate(run.package.pipeline.stages[-1], run.test, run.package.problem_type)
+        rows = [(k, float(v), float(run.metrics[k])) for k, v in again.items()]
+        table = spark.createDataFrame(rows, "name string, again double, kept double")
+        return table.agg(F.count_if(F.abs(F.col("again") - F.col("kept")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("kept"))).alias("differing")).select(
+            F.lit(run.package.problem_type).alias("problem_type"), "differing",
+            F.lit(run.metrics["training_time"] > 0).alias("has_time"), F.lit(run.metrics["best_estimator"] == run.package.best_estimator).alias("has_family"),
+        )
+
+    return facts("cls").unionByName(facts("reg"))
+
+
+@query("importance_properties", """
+SELECT kind AS problem_type, TRUE AS falling, TRUE AS sums_to_one, TRUE AS all_features FROM (VALUES ('classification'), ('regression')) t(kind)""")
+def importance_properties(spark, sf_dir):
+    def facts(kind):
+        run = trained(spark, sf_dir, kind)
+        values = [v for _, v in run.package.importance]
+        return (run.package.problem_type, values == sorted(values, reverse=True), abs(sum(values) - 1) < 1e-9,
+                sorted(f for f, _ in run.package.importance) == sorted(run.package.feature_columns))
+
+    return spark.createDataFrame([facts("cls"), facts("reg")], "problem_type string, falling boolean, sums_to_one boolean, all_features boolean")
+
+
+_SPLITS = ((4, (10.0, 25.0)), (5, (20000.0, 55000.5)), (6, (0.03, 0.05)))
+
+
+@query("extra_split_statistics", " UNION ALL ".join(
+    f"""SELECT {t}::BIGINT AS tree, {c}::BIGINT AS candidate, COUNT_IF({name} <= {marks[t]} AND l_returnflag = 'A')::DOUBLE AS n_a,
+       COUNT_IF({name} <= {marks[t]} AND l_returnflag = 'N')::DOUBLE AS n_n, COUNT_IF({name} <= {marks[t]} AND l_returnflag = 'R')::DOUBLE AS n_r,
+       MIN({name})::DOUBLE AS lowest, MAX({name})::DOUBLE AS highest FROM lineitem"""
+    for c, ((_, marks), name) in enumerate(zip(_SPLITS, ("l_quantity", "l_extendedprice", "l_discount"))) for t in (0, 1)))
+def extra_split_statistics(spark, sf_dir):
+    """Class counts left of two trees' thresholds at the root, with the ranges they were drawn from."""
+    columns = ("l_quantity", "l_extendedprice", "l_discount")
+    label = F.expr("CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END").cast("double")
+    state = load(spark, sf_dir, "lineitem").select(
+        F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), label.alias("y"), F.array(F.lit(0), F.lit(0)).alias("at"))
+    marks = [[[m[t] for _, m in _SPLITS]] for t in (0, 1)]
+    level = trees.Level(0, np.array([[[0, 1, 2]]] * 2), np.array(marks))
+    ranges, left = trees.node_ranges(state, level, 3), trees.split_statistics(state, level, 3)
+    rows = [(t, c, *map(float, left[t, 0][c]), float(ranges[t, 0][3 + 2 * c]), float(ranges[t, 0][4 + 2 * c])) for t in (0, 1) for c in range(3)]
+    return spark.createDataFrame(rows, "tree long, candidate long, n_a double, n_n double, n_r double, lowest double, highest double")
+
+
+@query("boosting_properties", "SELECT COUNT(*) AS row_count, 0::BIGINT AS bad_sum, 0::BIGINT AS bad_prediction, 0::BIGINT AS rounds_without_gain FROM orders")
+def boosting_properties(spark, sf_dir):
+    """Multinomial boosting over all orders: log-loss falls every round, probabilities sum to one as they are."""
+    rows = load(spark, sf_dir, "orders").selectExpr(
+        "CASE o_orderstatus WHEN 'F' THEN 0D WHEN 'O' THEN 1D ELSE 2D END AS y", "CAST(o_totalprice AS DOUBLE) AS price",
+        "CAST(unix_date(CAST(o_orderdate AS DATE)) AS DOUBLE) AS day")
+    data = VectorAssembler(inputCols=["price", "day"], outputCol="features").transform(rows)
+    model = trees.SoftmaxBoosting(3, rounds=3, depth=3, label="y").fit(data)
+    p = vector_to_array("probability")
+    flat = sum(b >= a for a, b in zip(model.losses, model.losses[1:]))
+    return model.transform(data).agg(
+        F.count("*").alias("row_count"),
+        F.count_if(F.abs(F.aggregate(p, F.lit(0.0), lambda a, v: a + v) - 1) > 1e-12).alias("bad_sum"),
+        F.count_if(F.get(p, F.col("prediction").cast("int")) != F.array_max(p)).alias("bad_prediction"),
+        F.lit(flat).cast("long").alias("rounds_without_gain"),
+    )
+
+
 @query("evaluate_cls")
 def evaluate_cls(spark, sf_dir):
     run = trained(spark, sf_dir, "cls")
@@ -233,6 +324,17 @@ def score_stream(spark, sf_dir):
     return spark.read.parquet(path).select(*_SCORE_KEYS, "prediction", "prediction_label", "confidence")
 
 
+@query("stream_properties", "SELECT COUNT(*) AS row_count, 0::BIGINT AS lost, 0::BIGINT AS added FROM lineitem")
+def stream_properties(spark, sf_dir):
+    """A stream is scored as a batch with fitted imputation is."""
+    run = trained(spark, sf_dir, "cls")
+    columns = [*_SCORE_KEYS, "prediction", "prediction_label", "confidence"]
+    streamed = score_stream(spark, sf_dir)
+    batch = scoring.score(load(spark, sf_dir, "lineitem"), run.package, "fitted").select(*columns)
+    lost, added = (a.exceptAll(b).agg(F.count("*").alias(n)) for a, b, n in ((batch, streamed, "lost"), (streamed, batch, "added")))
+    return streamed.agg(F.count("*").alias("row_count")).crossJoin(lost).crossJoin(added)
+
+
 # --- requests and model information -------------------------------------------------------------
 
 _REQUEST_VALUE = """CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 10 = 0 THEN 'n/a' ELSE CAST(value AS STRING) END"""
