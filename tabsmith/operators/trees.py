@@ -311,16 +311,20 @@ def boost(
             newton = (classes - 1) / classes * row["g"] / max(row["h"], 1e-12)
             here.value[row["tree"], row["node"], 0] = step * min(max(newton, -LARGEST_STEP), LARGEST_STEP)
         moved = placed.withColumn("add", class_sums(here, F.col("leaf"), classes))
-        added = lambda share: F.zip_with("raw", "add", lambda a, b: a + share * b)
-        tried = moved.agg(*[loss(added(s)).alias(f"l{i}") for i, s in enumerate(SHARES)]).first()
-        share = next((s for i, s in enumerate(SHARES) if tried[i] < losses[-1]), None)
-        if share is None:
+        following = None
+        for share in SHARES:
+            added = F.zip_with("raw", "add", lambda a, b: a + share * b)
+            tried = moved.select("features", "y", added.alias("raw")).persist(StorageLevel.MEMORY_AND_DISK)
+            reached = float(tried.agg(loss(F.col("raw")).alias("l")).first()["l"])
+            if reached < losses[-1]:
+                following = tried
+                break
+            tried.unpersist()
+        if following is None:
             break
         here.value *= share
-        losses.append(float(tried[SHARES.index(share)]))
+        losses.append(reached)
         parts.append(here)
-        following = moved.select("features", "y", added(share).alias("raw")).persist(StorageLevel.MEMORY_AND_DISK)
-        following.count()
         state.unpersist()
         state = following
     state.unpersist()
