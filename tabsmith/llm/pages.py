@@ -2,25 +2,26 @@
 
 Pages are ordered by host and path; each one is paired with the neighbour that shares more path segments.
 The text lines of the two are aligned by their longest common subsequence and the shared ones deleted,
-inside the page's article too, unless the neighbour is a copy of the page. What the alignment leaves is
-content wherever it stands, but for elements of menus, notices, forms and the like.
+inside the page's article where they join the shared head or tail of the page, unless the neighbour is a
+copy of the page. What the alignment leaves is content wherever it stands, but for elements of menus,
+notices, forms and the like.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.text import binary, mix, stream
+from tabsmith.llm.text import binary
 from tabsmith.session import scratch_path
 
 # Element names of the page language.
@@ -132,13 +133,8 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
     return [(text, main, none or (wrapper and (free or not main))) for text, main, none, wrapper in reader.blocks]
 
 
-_STEP = stream(41, 1)[0] | np.uint64(1)
-
-
 def _line_hash(text: str) -> int:
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.uint64)
-    place = mix(np.arange(len(raw), dtype=np.uint64) * _STEP)
-    return int(mix(np.array([((raw + np.uint64(1)) * (place | np.uint64(1))).sum(dtype=np.uint64)]))[0].view(np.int64))
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def common_lines(left: list, right: list) -> list[int]:
@@ -197,12 +193,20 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def kept_lines(found: list, shared: list[int]) -> list[str]:
     """The lines that are content: not shared with the neighbour, then not in a no-content element.
 
-    A neighbour that shares every content line, or more than half of the article's characters, is a copy
-    of the page: its alignment does not tell content from template, and only the elements decide.
+    Inside an article only shared lines in template position go: those that join the shared lines at the
+    head or the tail of the page without a line of its own between. A sentence that another article happens
+    to hold stays. A neighbour that shares every content line, or more than half of the article's
+    characters, is a copy of the page: its alignment does not tell content from template, and only the
+    elements decide.
     """
     gone = set(shared)
     content = [i for i, (_, _, none) in enumerate(found) if not none]
-    own = [i for i in content if i not in gone]
+    head, tail = 0, len(found)
+    while head < len(found) and head in gone:
+        head += 1
+    while tail > head and tail - 1 in gone:
+        tail -= 1
+    own = [i for i in content if i not in gone or (found[i][1] and head <= i < tail)]
     size = [sum(len(found[i][0]) for i in part if found[i][1]) for part in (own, content)]
     if own and 2 * size[0] >= size[1]:
         content = own
