@@ -167,7 +167,7 @@ def quality(documents: DataFrame) -> DataFrame:
     class_distance, word_distance (null where the text is too short to compare), kept. A row fails the
     base with under 20 words or more than 30 % repeated words; else it is kept when neither distance is
     above its bound. Null text counts as empty; texts of null language are compared with each other.
-    Repeated rows give repeated results, a null doc_id is passed on, other columns are ignored.
+    Repeated rows give repeated results, each by its own language; a null doc_id is passed on, other columns are ignored.
     """
     spark = documents.sparkSession
     path = scratch_path(spark, "quality-base")
@@ -184,14 +184,14 @@ def quality(documents: DataFrame) -> DataFrame:
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(ANY)).alias("lang")
     one = documents.select(
         "doc_id", lang, F.xxhash64(_text()).alias("text_hash"), F.explode(F.array_append(_low_words(documents), "")).alias("word")
-    ).select("doc_id", "text_hash", F.xxhash64("lang", "word").alias("key"))
-    counts = one.join(F.broadcast(bins), "key").groupBy("doc_id", "text_hash").agg(
+    ).select("doc_id", "text_hash", "lang", F.xxhash64("lang", "word").alias("key"))
+    counts = one.join(F.broadcast(bins), "key").groupBy("doc_id", "text_hash", "lang").agg(
         *[F.count_if(F.col("bin") == i).alias(f"b{i}") for i in range(k)], F.count_if(F.col("bin") == k).alias("copies")
     ).select(
-        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"),
+        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("lang").alias("_lang"),
         F.array(*[F.col(f"b{i}") / F.col("copies") for i in range(k)]).alias("found"),
     )
-    rows = base.join(counts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
+    rows = base.join(counts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")) & (F.col("lang") == F.col("_lang")))
     rows = rows.join(F.broadcast(reference), "lang")
     chars, total = F.greatest(F.col("n_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
     class_distance = js_distance(F.array(*[F.col(c) / chars for c in _CLASS_NAMES]), F.col("classes"))
