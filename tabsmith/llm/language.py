@@ -247,18 +247,18 @@ def learnable(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string")) % 3 != 1
 
 
-def fit(labelled: DataFrame, order: int = ORDER, training_docs: int = TRAINING_DOCS) -> LanguageModel:
+def fit(labelled: DataFrame, order: int = ORDER, training_docs: int = TRAINING_DOCS) -> LanguageModel | None:
     """Models from ``labelled(doc_id, text, lang)``; rows with a null are ignored.
 
     About ``training_docs`` documents per language are used, chosen by a hash of doc_id; nine tenths
-    give the counts, one tenth the calibration of the rejection. Without any row a ValueError is raised.
+    give the counts, one tenth the calibration of the rejection. Where no row has a letter to learn from, there is no model: None.
     """
     spark = labelled.sparkSession
     rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        raise ValueError("no labelled text to learn from")
+        return None
     place = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) / 1_000_000
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(training_docs / n))])
     sample = rows.where(place < F.element_at(share, F.col("lang")))
@@ -271,7 +271,7 @@ def fit(labelled: DataFrame, order: int = ORDER, training_docs: int = TRAINING_D
         counts = rows.select("text", "lang").mapInArrow(_grams(order), "lang string, gram string, n long").groupBy(
             "lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if counts.empty:
-        raise ValueError("no letter to learn from")
+        return None
     model = kneser_ney(counts, order)
     if model.size() > MODEL_BYTES:
         raise ValueError("the models exceed their broadcast bound: lower training_docs or order")
@@ -331,14 +331,20 @@ def _accepted(model, tolerance: float):
     return run
 
 
-def identify(documents: DataFrame, model: LanguageModel, tolerance: float = 1.5) -> DataFrame:
+def identify(documents: DataFrame, model: LanguageModel | None, tolerance: float = 1.5) -> DataFrame:
     """(doc_id, lang_pred, score, cross_entropy, rejected) for every row of ``documents(doc_id, text, ...)``.
 
     ``score`` is the winner's share of the probability of (at most 50 characters of) evidence. Null and
     empty text and text without a letter are ``und`` with score 0, rejected. Ties go to the first
     language by name. Repeated rows give repeated results; a null doc_id is passed on; other columns,
     ``lang`` too, are ignored. ``tolerance`` multiplies the largest deviation seen in calibration.
+    Without a model every text is ``und`` with score 0, rejected.
     """
+    if model is None:
+        return documents.select(
+            "doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
+            F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"),
+        )
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -348,7 +354,10 @@ def identify(documents: DataFrame, model: LanguageModel, tolerance: float = 1.5)
 
 
 def language_report(documents: DataFrame) -> DataFrame:
-    """Predictions for all documents, learned from those that ``learnable`` names; see ``identify``."""
+    """Predictions for all documents, learned from those that ``learnable`` names; see ``identify``.
+
+    An empty table gives an empty result; where nothing can be learned, every text is ``und``.
+    """
     model = fit(documents.where(learnable(F.col("doc_id"))))
     return identify(documents, model).select(
         "doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected"
@@ -356,7 +365,12 @@ def language_report(documents: DataFrame) -> DataFrame:
 
 
 def keep_identified(documents: DataFrame, tolerance: float = 1.5) -> DataFrame:
-    """``documents`` without the rows whose language is rejected; all columns are kept as they are."""
+    """``documents`` without the rows whose language is rejected; all columns are kept as they are.
+
+    Where nothing can be learned (no rows, no labels, no letters) nothing can be rejected: every row stays.
+    """
     model = fit(documents.where(learnable(F.col("doc_id"))))
+    if model is None:
+        return documents
     shared = documents.sparkSession.sparkContext.broadcast(model)
     return documents.mapInArrow(_accepted(shared, tolerance), documents.schema)

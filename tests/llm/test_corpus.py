@@ -453,10 +453,39 @@ def test_empty_tables(spark):
         divergence.quality(docs), katz.fit_and_score(docs)[1], pieces.encode(docs, vocabulary()),
         licences.scan(docs, licences.known_licences(spark)), pages.main_text(page), decontaminate.contaminated(docs, bench),
         decontaminate.contaminated(table(spark, ["a b c"]), bench), lengths.length_histogram(spark.createDataFrame([], "n_tokens long")),
+        language.language_report(docs), language.keep_identified(docs),
     ):
         assert out.count() == 0
-    with pytest.raises(ValueError):
-        language.fit(docs)
+    assert language.fit(docs) is None
+
+
+def test_nothing_to_learn_a_language_from(spark):
+    for docs in (table(spark, ["one text", None, ""], lang=None), table(spark, ["123 456", "...", "7"])):
+        got = language.language_report(docs).collect()
+        assert {(r["lang_pred"], r["score"], r["rejected"]) for r in got} == {("und", 0.0, True)} and len(got) == 3
+        assert language.keep_identified(docs).count() == 3
+
+
+def test_repeated_rows_of_two_languages(spark):
+    """Equal rows of different language are each compared with their own language."""
+    english, german = ([prose(s, 80, 30 + d) for s in range(d, d + 6)] for d in (0, 400))
+    german = [t.replace("w", "u") for t in german]
+    rows = [(i, t, "en") for i, t in enumerate(english)] + [(100 + i, t, "de") for i, t in enumerate(german)]
+    one = spark.createDataFrame(rows + [(7, english[0], "en"), (8, english[0], "de")], "doc_id long, text string, lang string")
+    both = spark.createDataFrame(rows + [(7, english[0], "en"), (7, english[0], "de")], "doc_id long, text string, lang string")
+    want = sorted((r["class_distance"], r["word_distance"]) for r in divergence.quality(one).where("doc_id IN (7, 8)").collect())
+    assert sorted((r["class_distance"], r["word_distance"]) for r in divergence.quality(both).where("doc_id = 7").collect()) == want
+    assert want[0][1] != want[1][1]
+
+
+def test_sentences_that_two_articles_share_stay():
+    """Shared lines inside an article go only where they join the shared head or tail of the page."""
+    found = [("menu", False, False), ("Site name", True, False), ("Own title", True, False), ("Shared sentence.", True, False),
+             ("Own text that is long enough to count as the article", True, False), ("Follow us", True, False), ("legal", False, False)]
+    kept = pages.kept_lines(found, [0, 1, 3, 5, 6])
+    assert kept == ["Own title", "Shared sentence.", "Own text that is long enough to count as the article"]
+    outside = [("menu", False, False), ("own", False, False), ("shared", False, False), ("own too", False, False)]
+    assert pages.kept_lines(outside, [0, 2]) == ["own", "own too"]
 
 
 SF = "/root/testdata/sf0.001"
