@@ -180,11 +180,13 @@ class _Attempt(threading.Thread):
             self.seconds = time.monotonic() - self.began
             self.context.clearJobTags()
 
-    def cancel(self) -> None:
-        """Cancel until the thread has ended: between two jobs of a fit there is nothing to cancel."""
-        while self.is_alive():
-            self.context.cancelJobsWithTag(self.tag)
-            self.join(0.05)
+    @staticmethod
+    def cancel(attempts: Sequence[_Attempt]) -> None:
+        """Cancel all of them until their threads have ended: between two jobs of a fit there is nothing to cancel."""
+        while alive := [a for a in attempts if a.is_alive()]:
+            for a in alive:
+                a.context.cancelJobsWithTag(a.tag)
+            alive[0].join(0.05)
 
 
 def select_model(
@@ -236,8 +238,7 @@ def select_model(
                 break
             running = [i for i in attempts if attempts[i].is_alive()]
             if late and running:
-                for i in running[1:]:
-                    attempts[i].cancel()
+                _Attempt.cancel([attempts[i] for i in running[1:]])
                 running = running[:1]
             if len(attempts) < len(queue) and len(running) < (1 if late else parallel):
                 i = len(attempts)
@@ -249,10 +250,9 @@ def select_model(
         counted = [i for i in judged_ones if i in ahead.kept] if ahead.ended else judged_ones
         why = {i: "patience" if ahead.ended else "deadline" for i in attempts if i not in counted}
         for i in why:
-            if attempts[i].is_alive():
-                attempts[i].cancel()
-            elif attempts[i].error is not None and not late:
+            if not attempts[i].is_alive() and attempts[i].error is not None and not late:
                 why[i] = "failed"
+        _Attempt.cancel([attempts[i] for i in why])
         if not counted:
             raise next(a.error for a in attempts.values() if a.error is not None)
         best = max(counted, key=lambda i: (attempts[i].result[0], -i))
@@ -261,7 +261,7 @@ def select_model(
         refit = _Attempt(context, lambda: queue[best][1].fit(rows))
         refit.start()
         refit.join(max(budget_s - spent(), 0.0))
-        refit.cancel()
+        _Attempt.cancel([refit])
         model = attempts[best].result[1] if refit.error is not None or refit.result is None else refit.result
         return Search(model, queue[best][0], wanted, trials, spent(), cut_off, refit.result is not None)
     finally:

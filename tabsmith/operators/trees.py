@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -270,6 +271,28 @@ def _heap(model: DecisionTreeRegressionModel, depth: int) -> Trees:
     return trees
 
 
+#: Trees of a round that are fitted at the same time.
+AT_A_TIME = 4
+
+
+def _side_by_side(data: DataFrame, work: Callable[[int], object], n: int) -> list:
+    """``work`` of 0 to n - 1 in threads whose Spark jobs carry the tags of this one, so they are cancelled with it."""
+    context = data.sparkSession.sparkContext
+    tags = context.getJobTags()
+
+    def tagged(k: int) -> object:
+        for tag in tags:
+            context.addJobTag(tag)
+        try:
+            return work(k)
+        finally:
+            for tag in tags:
+                context.removeJobTag(tag)
+
+    with ThreadPoolExecutor(min(n, AT_A_TIME)) as pool:
+        return list(pool.map(tagged, range(n)))
+
+
 #: Shares of a round's step that are tried, the whole first.
 SHARES = tuple(0.5**i for i in range(8))
 LARGEST_STEP = 4.0
@@ -295,10 +318,10 @@ def boost(
     for number in range(rounds if n else 0):
         residual = lambda k: (y == k).cast("double") - F.get("p", F.lit(k))
         wanted = state.withColumn("p", softmax(F.col("raw"))).select("*", *[residual(k).alias(f"r{k}") for k in range(classes)])
-        grown = []
-        for k in range(classes):
-            tree = DecisionTreeRegressor(maxDepth=depth, labelCol=f"r{k}", featuresCol="features", seed=seed + number).fit(wanted.select("features", f"r{k}"))
-            grown.append(_heap(tree, depth))
+        fitted = _side_by_side(data, lambda k: DecisionTreeRegressor(
+            maxDepth=depth, labelCol=f"r{k}", featuresCol="features", seed=seed + number).fit(wanted.select("features", f"r{k}")), classes)
+        grown = [_heap(tree, depth) for tree in fitted]
+        for tree in fitted:
             own = np.array(tree.featureImportances.toArray())
             importance = own if importance is None else importance + own
         here = Trees.joined(grown)
