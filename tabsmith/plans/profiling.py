@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.functions.schema import numeric_columns, schema_table
-from tabsmith.operators import profile, report
+from tabsmith.operators import increments, profile, report
 from tabsmith.operators.detect import eda_exclusions, problem_type
 from tabsmith.operators.facts import column_facts
 from tabsmith.plans.catalog import TABLES, facts_sql, load, numeric_of, query, text_of
+from tabsmith.session import scratch_path
 
 # The given tables hold no missing values; this rule blanks some, in the query and in the SQL.
 HOLED_LINEITEM_SQL = """
@@ -380,3 +381,52 @@ UNION ALL SELECT 'numeric', column_name, m, v, NULL FROM (
 @query("eda_report", _EDA_REPORT_SQL)
 def eda_report(spark, sf_dir):
     return report.eda_report(holed_orders(spark, sf_dir), "o_orderstatus")
+
+
+_INCREMENT_NUMBERS = ("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("incremental_profile", f"""
+WITH t AS ({HOLED_ORDERS_SQL}), facts AS ({facts_sql('t', TABLES['orders'])}),
+numbers AS ({" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, AVG({c}) AS mean, STDDEV_SAMP({c}) AS std, MIN({c})::DOUBLE AS lo, MAX({c})::DOUBLE AS hi FROM t"
+    for c in _INCREMENT_NUMBERS)})
+SELECT f.column_name, f.column_type, f.row_count, f.row_count - f.non_null AS missing,
+       ROUND((f.row_count - f.non_null)::DOUBLE / f.row_count * 100, 2) AS missing_pct,
+       ROUND(n.mean, 3) AS mean, ROUND(n.std, 3) AS std, n.lo AS min_value, n.hi AS max_value,
+       TRUE AS distinct_within_error,
+       CASE WHEN f.column_type = 'numeric' THEN TRUE END AS quartiles_within_error,
+       TRUE AS only_new_files_read
+FROM facts f LEFT JOIN numbers n USING (column_name)""")
+def incremental_profile(spark, sf_dir):
+    """Orders arriving as three loads, each sketched when it comes; the merged profile against the exact one."""
+    data, store = scratch_path(spark, "orders-loads"), scratch_path(spark, "orders-profile")
+    orders = holed_orders(spark, sf_dir)
+    seen, fresh = set(), True
+    for part in range(3):
+        orders.where(F.col("o_orderkey") % 3 == part).write.parquet(f"{data}/load={part}")
+        taken = increments.update_profile(spark, store, data)
+        fresh = fresh and bool(taken) and not seen & set(taken)
+        seen |= set(taken)
+    fresh = fresh and increments.update_profile(spark, store, data) == []
+    merged = increments.current_profile(spark, store).cache()
+    described = increments.approximate_describe(merged)
+    close = []
+    for row in described.collect():
+        bounds = increments.rank_bounds(orders, row["column_name"], [row["p25"], row["p50"], row["p75"]])
+        slack = increments.RANK_ERROR
+        ok = all(lo - slack <= q <= hi + slack for q, (lo, hi) in zip(increments.QUARTILES, bounds))
+        close.append((row["column_name"], row["mean"], row["std"], row["min"], row["max"], ok))
+    numbers = spark.createDataFrame(
+        close, "column_name string, mean double, std double, min_value double, max_value double, quartiles_within_error boolean")
+    exact = column_facts(orders).select("column_name", "distinct_count")
+    apart = F.abs(F.col("unique_count") - F.col("distinct_count"))
+    return (
+        increments.approximate_stats(merged).join(exact, "column_name").join(numbers, "column_name", "left")
+        .select(
+            "column_name", "column_type", "row_count", "missing", "missing_pct", F.round("mean", 3).alias("mean"),
+            F.round("std", 3).alias("std"), "min_value", "max_value",
+            (apart <= F.greatest(F.lit(1.0), F.col("distinct_count") * increments.DISTINCT_ERROR)).alias("distinct_within_error"),
+            "quartiles_within_error", F.lit(fresh).alias("only_new_files_read"),
+        )
+    )
