@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from tabsmith.operators import metrics as M
 from tabsmith.operators.detect import time_budget
+from tabsmith.operators.permutation import permutation_importance
 from tabsmith.operators.prepare import SPLIT_COLUMN, Prepared, preprocess
 from tabsmith.operators.trees import ExtraTrees, SoftmaxBoosting
 from tabsmith.session import scratch_path
@@ -289,9 +290,13 @@ def _before_patience(attempts: dict[int, _Attempt], patience: int) -> _Ahead:
     return _Ahead(kept, False)
 
 
-def feature_importance(model: Model, features: Sequence[str], train: DataFrame | None = None) -> list[tuple[str, float]]:
+def feature_importance(
+    model: Model, features: Sequence[str], train: DataFrame | None = None, held_out: DataFrame | None = None,
+    problem_type: str = "regression",
+) -> list[tuple[str, float]]:
     """(feature, importance) falling. Trees: their own; linear: |coefficient| x deviation; one-vs-rest:
-    the average of its parts; otherwise equal weights."""
+    the average of its parts; otherwise, where held-out rows are given, the shares of what exchanging each
+    feature between them costs; otherwise equal weights."""
     if not features:
         return []
     values: list[float] | None = None
@@ -312,6 +317,11 @@ def feature_importance(model: Model, features: Sequence[str], train: DataFrame |
         weighted = [s * d for s, d in zip(size, spread)]
         total = sum(weighted)
         values = [v / total for v in weighted] if total > 0 else None
+    elif held_out is not None:
+        lost = permutation_importance(model, held_out, features, LABEL, problem_type == "classification").collect()
+        kept = {r["feature"]: max(r["importance"] or 0.0, 0.0) for r in lost}
+        total = sum(kept.values())
+        values = [kept[f] / total for f in features] if total > 0 else None
     if values is None:
         values = [1.0 / len(features)] * len(features)
     return sorted(zip(features, values), key=lambda kv: (-kv[1], kv[0]))
@@ -388,7 +398,7 @@ def fit_package(prepared: Prepared, budget_s: float, metric: str = "auto", patie
         categorical_columns=prepared.categorical_columns, numeric_columns=prepared.numeric_columns,
         medians=prepared.medians, dictionary=prepared.dictionary, labels=labels,
         label_is_text=prepared.target_mapping is not None,
-        importance=feature_importance(search.model, features, train),
+        importance=feature_importance(search.model, features, train, test, prepared.problem_type),
         best_estimator=search.best, sizes=prepared.sizes,
     )
     return package, search, test

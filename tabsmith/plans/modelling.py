@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.operators import ledger, metrics, models, prepare, scoring, trees
 from tabsmith.operators.job import JobPaths, status_events, training_job
+from tabsmith.operators.permutation import permutation_importance as permutation
 from tabsmith.operators.report import training_report as build_report
 from tabsmith.plans.catalog import TABLES, facts_sql, load, query
 from tabsmith.plans.preparation import (
@@ -19,7 +21,7 @@ from tabsmith.plans.profiling import HOLED_ORDERS_SQL, holed_lineitem, holed_ord
 from tabsmith.session import scratch_path
 from tabsmith.sources.packages import load_package, save_package
 from tabsmith.sources.records import complete_run, find_record, profile_record, store_record
-from tabsmith.sources.tables import CSV, discover, read_predictions, read_table, write_predictions
+from tabsmith.sources.tables import CSV, discover, discovered_paths, read_predictions, read_table, write_predictions
 from tabsmith.streaming.scoring import score_stream as start_score_stream
 
 _RUNS: dict[tuple[str, str, str], models.TrainingRun] = {}
@@ -98,6 +100,23 @@ def importance_properties(spark, sf_dir):
     return spark.createDataFrame([facts("cls"), facts("reg")], "problem_type string, falling boolean, sums_to_one boolean, all_features boolean")
 
 
+@query("permutation_importance", """
+SELECT feature, COUNT(*) AS rows, TRUE AS near_expectation, feature = 'unused' AS exactly_zero
+FROM lineitem, (VALUES ('l_quantity'), ('unused')) f(feature) GROUP BY feature""")
+def permutation_importance(spark, sf_dir):
+    """A least-squares line loses 2 w^2 var(x) / var(y) of its R2 when x is exchanged; an unused feature loses nothing."""
+    rows = load(spark, sf_dir, "lineitem").select("l_quantity", F.lit(1.0).alias("unused"), F.col("l_extendedprice").alias("y"))
+    data = VectorAssembler(inputCols=["l_quantity", "unused"], outputCol="features").transform(rows)
+    model = LinearRegression(labelCol="y").fit(data)
+    moments = rows.agg(F.var_pop("l_quantity").alias("x"), F.var_pop("y").alias("y")).first()
+    expected = 2 * float(model.coefficients[0]) ** 2 * moments["x"] / moments["y"]
+    found = permutation(model, data, ["l_quantity", "unused"], "y", False)
+    want = F.when(F.col("feature") == "unused", 0.0).otherwise(expected)
+    slack = F.greatest(F.lit(0.02), F.col("std_error") * 6)
+    return found.select("feature", "rows", (F.abs(F.col("importance") - want) <= slack).alias("near_expectation"),
+                        (F.col("importance") == 0).alias("exactly_zero"))
+
+
 _SPLITS = ((4, (10.0, 25.0)), (5, (20000.0, 55000.5)), (6, (0.03, 0.05)))
 
 
@@ -187,6 +206,27 @@ def training_report(spark, sf_dir):
     )
 
 
+@query("report_properties", """
+SELECT TRUE AS one_value_each, TRUE AS sections_complete, TRUE AS top_is_100, TRUE AS shown_falling, TRUE AS metrics_of_run, TRUE AS features_split""")
+def report_properties(spark, sf_dir):
+    """What must hold of the report of a finished run."""
+    run = trained(spark, sf_dir, "reg")
+    rows = [r.asDict() for r in training_report(spark, sf_dir).collect()]  # one record of a run
+    at = lambda section, metric: {r["item"]: r["value"] for r in rows if (r["section"], r["metric"]) == (section, metric)}
+    shares, metric_values = at("importance", "pct_of_max"), at("metrics", "value")
+    shown = [v for _, v in run.package.importance if v in at("importance", "importance").values()]
+    keys = [(r["section"], r["item"], r["metric"]) for r in rows]
+    facts = (
+        len(keys) == len(set(keys)),
+        {"summary", "metrics", "importance", "features", "configuration"} <= {k[0] for k in keys},
+        max(shares.values()) == 100.0, shown == sorted(shown, reverse=True),
+        all(run.metrics[k] == metric_values[k] for k in ("r2_score", "rmse", "mae")),
+        set(at("features", "used")) == set(run.package.feature_columns) and set(at("features", "excluded")) == set(run.prepared.dropped),
+    )
+    names = ("one_value_each", "sections_complete", "top_is_100", "shown_falling", "metrics_of_run", "features_split")
+    return spark.createDataFrame([facts], ", ".join(f"{n} boolean" for n in names))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job on lineitem: explore, prepare, search, evaluate, save; returns its report."""
     root = scratch_path(spark, "workspace")
@@ -217,6 +257,25 @@ def complete_run_query(spark, sf_dir):
     )
 
 
+@query("completion_properties", """
+SELECT 'completed' AS status, TRUE AS counts_agree, TRUE AS metrics_exact, TRUE AS typed, TRUE AS ranges_of_numbers,
+       (SELECT COUNT(DISTINCT l_linestatus) FROM lineitem) AS statuses""")
+def completion_properties(spark, sf_dir):
+    """The completion record holds the metrics of the run as they are and the metadata of every feature."""
+    run = trained(spark, sf_dir, "cls")
+    numbers = {k: float(v) for k, v in run.metrics.items() if not isinstance(v, str)}
+    kept = F.map_from_arrays(F.array(*[F.lit(k) for k in numbers]), F.array(*[F.lit(v) for v in numbers.values()]))
+    text = run.package.categorical_columns
+    return complete_run_query(spark, sf_dir).select(
+        "status",
+        ((F.col("feature_count") == F.size("feature_columns")) & (F.col("dropped_count") == F.size("dropped_columns"))).alias("counts_agree"),
+        F.forall(F.map_entries("metrics"), lambda e: F.element_at(kept, e["key"]) == e["value"]).alias("metrics_exact"),
+        F.forall("feature_columns", lambda c: F.element_at("feature_types", c).isNotNull()).alias("typed"),
+        F.forall(F.map_entries("numeric_stats"), lambda e: (e["value"]["min_value"] <= e["value"]["max_value"]) & ~e["key"].isin(text)).alias("ranges_of_numbers"),
+        F.size(F.element_at("categorical_mappings", "l_linestatus")).cast("long").alias("statuses"),
+    )
+
+
 # --- scoring ------------------------------------------------------------------------------------
 
 _SCORE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -252,6 +311,19 @@ def shape_prediction(spark, sf_dir):
     return shaped(cls).unionByName(shaped(reg))
 
 
+@query("shape_properties", """
+SELECT kind AS problem_type, COUNT(*) AS row_count, 0::BIGINT AS bad FROM lineitem, (VALUES ('classification'), ('regression')) t(kind) GROUP BY kind""")
+def shape_properties(spark, sf_dir):
+    """Every answer: a number alone for a regression; else a class code with the highest of probabilities that sum to one."""
+    p, classes = F.col("probability"), F.map_values("class_probabilities")
+    total = F.aggregate(classes, F.lit(0.0), lambda a, x: a + x)
+    code = F.element_at("class_probabilities", F.col("prediction").cast("long").cast("string"))
+    good = F.when(F.col("problem_type") == "regression", p.isNull() & F.col("class_probabilities").isNull()).otherwise(
+        (p == F.array_max(classes)) & (code == p) & (F.abs(total - 1) < 1e-9))
+    return shape_prediction(spark, sf_dir).groupBy("problem_type").agg(
+        F.count("*").alias("row_count"), F.count_if(F.col("prediction").isNull() | ~F.coalesce(good, F.lit(False))).alias("bad"))
+
+
 @query("predict_sink_roundtrip")
 def predict_sink_roundtrip(spark, sf_dir):
     run = trained(spark, sf_dir, "reg")
@@ -425,6 +497,24 @@ def discover_files(spark, sf_dir):
     return discover(spark, path).select("path", "length")
 
 
+@query("discovery_properties", """
+SELECT 0::BIGINT AS undiscovered, 0::BIGINT AS foreign_files, TRUE AS lengths_known, COUNT(*) AS row_count FROM orders""")
+def discovery_properties(spark, sf_dir):
+    """Loads in nested folders beside files of another kind: every CSV file is found, none else, and together they are the table."""
+    root = scratch_path(spark, "loads")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    for part in range(3):
+        orders.where(F.col("o_orderkey") % 3 == part).write.options(**CSV).csv(f"{root}/{'deep/' * part}load={part}")
+    orders.limit(1).write.json(f"{root}/other")
+    found = discover(spark, root)
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    csv = every.where(F.col("path").endswith(".csv"))
+    lost = csv.join(found, "path", "left_anti").agg(F.count("*").alias("undiscovered"))
+    extra = found.agg(F.count_if(~F.col("path").endswith(".csv")).alias("foreign_files"), F.every(F.col("length") > 0).alias("lengths_known"))
+    rows = spark.read.options(**CSV).csv(discovered_paths(spark, root)).agg(F.count("*").alias("row_count"))
+    return lost.crossJoin(extra).crossJoin(rows)
+
+
 @query("dataset_record", f"""
 WITH facts AS ({facts_sql('orders', TABLES['orders'])})
 SELECT 'orders' AS dataset_id, 'orders.parquet' AS filename, row_count, position, column_name, column_type,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.functions.schema import numeric_columns, schema_table
-from tabsmith.operators import increments, profile, report
+from tabsmith.operators import gram, increments, profile, report
 from tabsmith.operators.detect import eda_exclusions, problem_type
 from tabsmith.operators.facts import column_facts
 from tabsmith.plans.catalog import TABLES, facts_sql, load, numeric_of, query, text_of
@@ -307,6 +307,21 @@ def correlation_matrix(spark, sf_dir):
     return _rounded(profile.correlation_matrix(holed_lineitem(spark, sf_dir)), 6)
 
 
+_WIDE_TWINS = {f"{c}_twin": f"{c} * {c} - l_tax" for c in ("l_quantity", "l_discount", "l_extendedprice", "l_linenumber")}
+_WIDE_SQL = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in _WIDE_TWINS.items())} FROM ({HOLED_LINEITEM_SQL})"
+_WIDE = [*numeric_of("lineitem"), *_WIDE_TWINS]
+
+
+@query("correlation_blocks", f"WITH t AS ({_WIDE_SQL}) "
+       + "\nUNION ALL\n".join(
+           f"SELECT '{a}' AS left_column, '{b}' AS right_column, ROUND({_corr_sql('t', a, b)}, 6) AS correlation"
+           for a in _WIDE for b in _WIDE))
+def correlation_blocks(spark, sf_dir):
+    """The matrix from products of column blocks, here five columns wide so that blocks meet each other."""
+    df = holed_lineitem(spark, sf_dir).withColumns({c: F.expr(e) for c, e in _WIDE_TWINS.items()})
+    return _rounded(gram.correlation_matrix(df, _WIDE, block=5), 6)
+
+
 @query("eda_warnings", f"""
 WITH t AS ({HOLED_LINEITEM_SQL}), facts AS ({facts_sql('t', TABLES['lineitem'])})
 SELECT COUNT(*) FILTER (WHERE non_null < row_count) AS columns_with_missing FROM facts""")
