@@ -87,6 +87,38 @@ def parse_request(json: Column) -> Column:
     return F.from_json(json, "map<string,string>")
 
 
+def typed_request(json: Column) -> Column:
+    """Feature request with the kinds its numbers and texts came in: struct(features, errors).
+
+    ``features`` maps each name to struct(kind, number, text): kind ``int``, ``float`` or ``string``, the
+    number (null for a text) and the text a category is looked up by. ``errors`` names, sorted, the features
+    whose value is null, a list or an object; these are not in ``features``. A request that is no JSON object,
+    or names a feature twice, has null features and one error; a null request is null. Booleans are the ints
+    0 and 1. A whole number written with a point, like 1.0, is a float; from 19 digits on it counts as an int.
+    """
+    given = F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>")
+    usable = "BIGINT|DECIMAL.*|DOUBLE|FLOAT|STRING|BOOLEAN"
+
+    def kind_of(v: Column) -> Column:
+        t = F.schema_of_variant(v)
+        digits = F.regexp_extract(t, r"^DECIMAL\(([0-9]+),0\)$", 1)
+        return F.when(t.isin("BIGINT", "BOOLEAN"), "int").when(t == "STRING", "string").when(
+            digits.try_cast("int") > 18, "int").otherwise("float")
+
+    def entry(_: Column, v: Column) -> Column:
+        text = F.try_variant_get(v, "$", "string")
+        flag = F.when(F.schema_of_variant(v) == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0))
+        number = F.when(kind_of(v) != "string", F.coalesce(flag, F.try_variant_get(v, "$", "double")))
+        return F.struct(kind_of(v).alias("kind"), number.alias("number"), text.alias("text"))
+
+    fits = lambda _, v: F.schema_of_variant(v).rlike(f"^({usable})$")
+    features = F.transform_values(F.map_filter(given, fits), entry)
+    bad = F.array_sort(F.map_keys(F.map_filter(given, lambda k, v: ~fits(k, v))))
+    errors = F.transform(bad, lambda k: F.concat(F.lit("Value of feature '"), k, F.lit("' is neither a number nor a text")))
+    broken = F.array(F.lit("The request is no JSON object with distinct names"))
+    return F.when(json.isNotNull(), F.struct(features.alias("features"), F.coalesce(errors, broken).alias("errors")))
+
+
 def _as_text(dtype: T.DataType) -> T.DataType:
     if isinstance(dtype, T.ArrayType):
         return T.ArrayType(_as_text(dtype.elementType), dtype.containsNull)

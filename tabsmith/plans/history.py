@@ -447,3 +447,33 @@ def parse_request(spark, sf_dir):
     return load(spark, sf_dir, "events").select(
         "event_id", F.size(given).alias("features"), k.alias("k"), scalars.to_number(k).isNotNull().alias("numeric")
     )
+
+
+_MIXED_PARTS = (
+    "CASE event_id % 5 WHEN 0 THEN '1.5' WHEN 1 THEN '\"12\"' WHEN 2 THEN 'null' WHEN 3 THEN '{\"x\":1}' ELSE '-7' END",
+    "CASE WHEN event_id % 11 = 0 THEN '[1' ELSE '' END",
+)
+_MIXED = (f"CONCAT('{{\"id\": ', CAST(event_id AS STRING), ', \"type\": \"', event_type, '\", \"mixed\": ', "
+          f"{_MIXED_PARTS[0]}, {_MIXED_PARTS[1]}, '}}')")
+
+
+@query("typed_request", f"""
+WITH t AS (SELECT event_id, {_MIXED.replace('AS STRING', 'AS VARCHAR')} AS j FROM events),
+v AS (SELECT event_id, CASE WHEN json_valid(j) THEN j::JSON END AS j FROM t),
+k AS (SELECT event_id, j, json_type(j, '$.mixed') AS kind FROM v)
+SELECT event_id, CASE WHEN j IS NOT NULL THEN 'int' END AS id_kind, (j->>'$.id')::DOUBLE AS id_number, j->>'$.type' AS type_text,
+       CASE kind WHEN 'DOUBLE' THEN 'float' WHEN 'BIGINT' THEN 'int' WHEN 'VARCHAR' THEN 'string' END AS mixed_kind,
+       CASE WHEN kind IN ('DOUBLE', 'BIGINT') THEN (j->>'$.mixed')::DOUBLE END AS mixed_number,
+       CASE WHEN kind IN ('DOUBLE', 'BIGINT', 'VARCHAR') THEN j->>'$.mixed' END AS mixed_text,
+       CASE WHEN j IS NULL THEN 'The request is no JSON object with distinct names'
+            WHEN kind IN ('NULL', 'OBJECT') THEN 'Value of feature ''mixed'' is neither a number nor a text' ELSE '' END AS errors
+FROM k""")
+def typed_request(spark, sf_dir):
+    """Requests made from every event whose values are numbers, texts, nulls, objects, or broken."""
+    given = load(spark, sf_dir, "events").select("event_id", scalars.typed_request(F.expr(_MIXED)).alias("r"))
+    at = lambda name, part: F.element_at("r.features", name)[part]
+    return given.select(
+        "event_id", at("id", "kind").alias("id_kind"), at("id", "number").alias("id_number"), at("type", "text").alias("type_text"),
+        at("mixed", "kind").alias("mixed_kind"), at("mixed", "number").alias("mixed_number"), at("mixed", "text").alias("mixed_text"),
+        F.array_join("r.errors", "; ").alias("errors"),
+    )
