@@ -20,7 +20,7 @@ from tabsmith.plans.preparation import (
 from tabsmith.plans.profiling import HOLED_ORDERS_SQL, holed_lineitem, holed_orders
 from tabsmith.session import scratch_path
 from tabsmith.sources.packages import load_package, save_package
-from tabsmith.sources.records import complete_run, find_record, profile_record, store_record
+from tabsmith.sources.records import check_targets, complete_run, find_record, profile_record, store_record
 from tabsmith.sources.tables import CSV, discover, discovered_paths, read_predictions, read_table, write_predictions
 from tabsmith.streaming.scoring import score_stream as start_score_stream
 
@@ -536,3 +536,15 @@ def dataset_record(spark, sf_dir):
     )
 
 
+_ASKED = (*TABLES["orders"], "no_such_column", "O_ORDERKEY", "")
+
+
+@query("target_exists", f"""
+SELECT asked AS target, (asked IN ({", ".join(f"'{c}'" for c in TABLES["orders"])})) AS accepted, (SELECT COUNT(*) FROM orders) AS row_count
+FROM (VALUES {", ".join(f"('{c}')" for c in _ASKED)}) t(asked)""")
+def target_exists(spark, sf_dir):
+    """Targets asked for, checked against the column list of the stored record: accepted as they are written there."""
+    path = scratch_path(spark, "datasets")
+    store_record(profile_record(load(spark, sf_dir, "orders"), "orders", "orders.parquet"), path)
+    asked = spark.createDataFrame([("orders", c) for c in _ASKED], "dataset_id string, target string")
+    return check_targets(asked, spark.read.parquet(path)).select("target", "accepted", "row_count")

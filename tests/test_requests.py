@@ -1,8 +1,9 @@
-"""Feature requests whose values keep their kinds."""
+"""Feature requests whose values keep their kinds; targets checked against stored records."""
 
 from pyspark.sql import functions as F
 
 from tabsmith.functions.scalars import typed_request
+from tabsmith.sources.records import check_targets, profile_record
 
 BROKEN = ["The request is no JSON object with distinct names"]
 
@@ -31,3 +32,10 @@ def test_values_that_are_no_features(spark):
 def test_broken_requests(spark):
     got = _parsed(spark, "[1]", "{", "", "3", '{"a": 1, "a": 2}', None, "{}", " {} ")
     assert [g and (g["features"], g["errors"]) for g in got] == [(None, BROKEN)] * 5 + [None, ({}, []), ({}, [])]
+
+
+def test_targets_of_stored_records(spark):
+    record = profile_record(spark.createDataFrame([(1, "x")], "a int, b string"), "d", "f")
+    asked = spark.createDataFrame([("d", "a"), ("d", "A"), ("d", None), ("none", "a")], "dataset_id string, target string")
+    got = {(r["dataset_id"], r["target"]): (r["accepted"], r["row_count"]) for r in check_targets(asked, record).collect()}
+    assert got == {("d", "a"): (True, 1), ("d", "A"): (False, 1), ("d", None): (False, 1), ("none", "a"): (False, None)}
