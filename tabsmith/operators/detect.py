@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tabsmith.functions.schema import id_name_match
-from tabsmith.operators.facts import COLUMNS_PER_JOB, column_facts, counting_key
+from tabsmith.operators.facts import BRANCH_COLUMNS, COLUMNS_PER_JOB, column_facts, counting_key
 
 # Decision thresholds.
 CLASS_VALUES = 10
@@ -129,11 +129,12 @@ def with_rules(facts: DataFrame) -> DataFrame:
 
 
 def collect_rules(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, Row]:
-    """Facts and verdicts, a few columns per job."""
+    """Facts and verdicts, a few columns per job; wide tables in one."""
     names = list(df.columns if columns is None else columns)
+    step = COLUMNS_PER_JOB if len(names) <= BRANCH_COLUMNS else len(names)
     out: dict[str, Row] = {}
-    for at in range(0, len(names), COLUMNS_PER_JOB):
-        for row in with_rules(column_facts(df, names[at : at + COLUMNS_PER_JOB])).collect():
+    for at in range(0, len(names), step):
+        for row in with_rules(column_facts(df, names[at : at + step])).collect():
             out[row["column_name"]] = row
     return {n: out[n] for n in names}
 

@@ -1,4 +1,4 @@
-"""The two statistics jobs every profiling and detection operator is derived from.
+"""The statistics jobs every profiling and detection operator is derived from.
 
 ``column_facts``: one row per column. Each column is grouped by its own value and the groups are
 then folded to one row. A branch reads only its own parquet column, so all branches together read
@@ -6,6 +6,10 @@ the table once; the map-side combine sends one record per (task, value) whatever
 value; and the frequency of the most common value comes out of the same shuffle. One aggregate
 holding many ``count_distinct`` would instead copy every input row once per column.
 
+``melted_facts``: the same rows for wide tables. Every row becomes one (column, value) record per column,
+counted in one shuffle and folded per column in a second, tiny one, so the plan has at most four scans
+(of different columns) and two aggregates however many columns there are. ``column_facts`` takes this way beyond ``BRANCH_COLUMNS``.
+
 ``value_counts``: (column, value, n) for string columns, where the counts themselves are needed.
 """
 
@@ -30,6 +34,10 @@ DIGEST_FROM_BYTES = 64
 # Columns per job when facts are collected on the driver; keeps the plan of a very wide table small.
 COLUMNS_PER_JOB = 32
 
+# Up to so many columns a branch per column reads only its own column; beyond, planning the branches
+# would take longer than the extra records of one melted scan.
+BRANCH_COLUMNS = 64
+
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
@@ -90,9 +98,101 @@ def _facts_of(df: DataFrame, field: T.StructField, position: int) -> DataFrame:
     )
 
 
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _melted_kind(dtype: T.DataType) -> str:
+    if isinstance(dtype, _INTEGERS):
+        return "whole"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "real"
+    return "text" if isinstance(dtype, T.StringType) else "other"
+
+
+def _melted(df: DataFrame, kind: str, fields: Sequence[tuple[int, T.StructField]]) -> DataFrame:
+    """(position, k, x, whole, len, code) records of one kind of columns.
+
+    k is a text equal exactly when the values are equal. The array under the explode holds bare columns
+    and everything else is computed behind it, once for all columns: the plan stays small.
+    """
+    none = {"x": F.lit(None).cast("double"), "whole": F.lit(None).cast("bigint"),
+            "len": F.lit(None).cast("int"), "code": F.lit(None).cast("boolean")}
+    c = F.col("v")
+    if kind == "whole":
+        values = [F.col(f"`{f.name}`").cast("bigint") for _, f in fields]
+        made = {"k": c.cast("string"), "x": c.cast("double"), "whole": c}
+    elif kind == "real":
+        values = [F.col(f"`{f.name}`").cast("double") for _, f in fields]
+        number = F.when(~F.isnan(c), c + F.lit(0.0))  # -0.0 and 0.0 are one value
+        made = {"k": number.cast("string"), "x": number}
+    elif kind == "text":
+        values = [F.col(f"`{f.name}`") for _, f in fields]
+        made = {"k": counting_key("v", T.StringType()), "len": F.octet_length(c), "code": c.rlike(CODE_REGEX)}
+    else:
+        values = []
+        for _, f in fields:
+            key = counting_key(f.name, f.dataType)
+            # local times repeat when clocks go back
+            text = F.unix_micros(key) if isinstance(f.dataType, T.TimestampType) else key
+            x = key.cast("double") if counts_as_number(f.dataType) else none["x"]
+            values.append(F.struct(text.cast("string").alias("k"), x.alias("x")))
+        made = {"k": c["k"], "x": c["x"]}
+    places = F.array(*[F.lit(i) for i, _ in fields])
+    rows = df.select(F.posexplode(F.array(*values)).alias("at", "v"))
+    made = {**none, **made}
+    return rows.select(
+        F.element_at(places, F.col("at") + 1).alias("position"),
+        *[made[name].alias(name) for name in ("k", "x", "whole", "len", "code")],
+    )
+
+
+def melted_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``column_facts`` from one shuffle of (column, value) records; lazy.
+
+    Integers, reals, texts and the rest are melted apart, each reading only its own columns.
+    """
+    wanted = set(df.columns if columns is None else columns)
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if f.name in wanted]
+    kinds: dict[str, list] = {}
+    for i, f in fields:
+        kinds.setdefault(_melted_kind(f.dataType), []).append((i, f))
+    records = union_all([_melted(df, kind, members) for kind, members in kinds.items()])
+    groups = records.groupBy("position", "k").agg(
+        F.count(F.lit(1)).alias("n"), F.max("x").alias("x"), F.max("whole").alias("whole"),
+        F.max("len").alias("len"), F.bool_or("code").alias("code"),
+    )
+    present = F.col("k").isNotNull()
+    folded = groups.groupBy("position").agg(
+        F.sum("n").alias("row_count"),
+        F.sum(F.when(present, F.col("n"))).alias("non_null"),
+        F.count("k").alias("distinct_count"),
+        F.max(F.when(present, F.col("n"))).alias("top_n"),
+        F.min("x").alias("min_value"),
+        F.max("x").alias("max_value"),
+        F.try_subtract(F.max("whole"), F.min("whole")).alias("value_span"),
+        F.bool_and(F.col("x") == F.floor("x")).alias("integer_like"),
+        F.sum(F.when(F.col("code"), F.col("n"))).alias("code_rows"),
+        F.max("len").alias("max_bytes"),
+    )
+    # one row per column of the schema, so that an empty table has its columns too
+    named = df.sparkSession.createDataFrame(
+        [(f.name, i, f.dataType.simpleString(), coarse_type(f.dataType), counts_as_number(f.dataType)) for i, f in fields],
+        "column_name string, position int, data_type string, column_type string, number boolean",
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return named.join(folded, "position", "left").select(
+        "column_name", "position", "data_type", "column_type", zero("row_count"), zero("non_null"),
+        zero("distinct_count"), zero("top_n"), "min_value", "max_value", "value_span",
+        F.when(F.col("number"), F.coalesce("integer_like", F.lit(True))).otherwise(F.lit(False)).alias("integer_like"),
+        zero("code_rows"), zero("max_bytes"),
+    )
+
+
 def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column; lazy."""
     wanted = set(df.columns if columns is None else columns)
+    if len(wanted) > BRANCH_COLUMNS:
+        return melted_facts(df, columns)
     parts = [
         _facts_of(df, f, i) for i, f in enumerate(df.schema.fields) if f.name in wanted
     ]

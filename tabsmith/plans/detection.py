@@ -262,3 +262,30 @@ def time_budget(spark, sf_dir):
             F.lit(t).alias("table_name"), "row_count", detect.time_budget(F.col("row_count")).alias("budget_s"))
         for t in ALL
     ])
+
+
+def _wide_orders() -> tuple[dict[str, str], list[str]]:
+    """Columns of a widened orders table: every column twelve times, each with gaps of its own."""
+    columns, selects = {}, []
+    for k in range(12):
+        for c, kind in TABLES["orders"].items():
+            value = f"concat({c}, '{k}')" if kind == "VARCHAR" else f"{c} + INTERVAL {k} DAY" if kind == "TIMESTAMP" else f"{c} + {k}"
+            columns[f"{c}_{k}"] = kind
+            selects.append(f"CASE WHEN o_orderkey % {k + 2} > 0 THEN {value} END AS {c}_{k}")
+    return columns, selects
+
+
+_WIDE, _WIDE_SELECTS = _wide_orders()
+
+
+@query("facts_wide_orders", f"""
+WITH t AS (SELECT {", ".join(_WIDE_SELECTS)} FROM orders), facts AS ({facts_sql('t', _WIDE)})
+SELECT column_name, column_type, row_count, non_null, distinct_count, ROUND(min_value, 4) AS min_value, ROUND(max_value, 4) AS max_value,
+       integer_like, ROUND(code_share, 6) AS code_share FROM facts""")
+def facts_wide_orders(spark, sf_dir):
+    facts = column_facts(load(spark, sf_dir, "orders").selectExpr(*_WIDE_SELECTS))
+    share = F.coalesce(F.try_divide("code_rows", "non_null"), F.lit(0.0))
+    return facts.select(
+        "column_name", "column_type", "row_count", "non_null", "distinct_count", F.round("min_value", 4).alias("min_value"),
+        F.round("max_value", 4).alias("max_value"), "integer_like", F.round(share, 6).alias("code_share"),
+    )
