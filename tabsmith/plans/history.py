@@ -15,6 +15,7 @@ from tabsmith.operators.facts import union_all
 from tabsmith.operators.report import facts_table
 from tabsmith.plans.catalog import TABLES, facts_sql, load, query
 from tabsmith.session import scratch_path
+from tabsmith.streaming import stateful
 from tabsmith.streaming.runs import RunFollower
 
 RUNS_SQL = """
@@ -262,11 +263,14 @@ def apply_status(spark, sf_dir):
     return out.withColumns({c: text_time(c) for c in ("started_at", "completed_at", "updated_at")})
 
 
-@query("follow_runs", WITH_EVENTS + """,
+_FOLLOWED_SQL = WITH_EVENTS + """,
 f AS (SELECT job_id, COALESCE(arg_min(status, (ts, event_id)) FILTER (WHERE status IN ('completed', 'failed')), arg_max(status, (ts, event_id))) AS status,
        COALESCE(MIN(ts) FILTER (WHERE status IN ('completed', 'failed')), MAX(ts)) AS ts,
        BOOL_OR(status IN ('completed', 'failed')) AS finished FROM ev WHERE status IS NOT NULL GROUP BY job_id)
-SELECT job_id, status, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, finished FROM f""")
+SELECT job_id, status, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, finished FROM f"""
+
+
+@query("follow_runs", _FOLLOWED_SQL)
 def follow_runs(spark, sf_dir):
     source = load(spark, sf_dir, "events")
     raw = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -279,6 +283,17 @@ def follow_runs(spark, sf_dir):
     return follower.result(spark, last).withColumn("ts", text_time("ts"))
 
 
+@query("follow_runs_stateful", _FOLLOWED_SQL)
+def follow_runs_stateful(spark, sf_dir):
+    source = load(spark, sf_dir, "events")
+    raw = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    ends, checkpoint = scratch_path(spark, "ended"), scratch_path(spark, "ended-checkpoint")
+    followed = stateful.follow(spark.sql(EVENTS_SQL, events=raw))
+    stateful.start(followed, ends, checkpoint, once=True).awaitTermination()
+    out = stateful.ended_runs(spark, ends).unionByName(stateful.open_runs(spark, checkpoint))
+    return out.select("job_id", "status", text_time("ts").alias("ts"), "finished")
+
+
 _NEW_TAGS = """CASE WHEN run_no % 13 = 0 THEN split('1,2,3,4,5,6,7,8,9,10,11', ',') WHEN run_no % 17 = 0 THEN split('ok, ', ',')
      WHEN run_no % 19 = 0 THEN split(repeat('x', 51), ',') WHEN run_no % 2 = 0 THEN split('baseline,v2', ',') END"""
 _NEW_NOTES = """CASE WHEN run_no % 23 = 0 THEN repeat('n', 1001) WHEN run_no % 8 = 0 AND run_no % 3 = 0 THEN '  '
