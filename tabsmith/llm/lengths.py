@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsmith.session import cut_lineage
+
 BLOCK = 1024
 
 
@@ -38,7 +40,11 @@ def _count(shared):
 
 
 def token_counts(documents: DataFrame, pattern: str, ranks: dict[bytes, int]) -> DataFrame:
-    """(doc_id, n_tokens) of every row; null and empty text have none. The vocabulary is broadcast."""
+    """(doc_id, n_tokens) of every row, whole texts however long. The vocabulary is broadcast.
+
+    Null and empty texts have none; repeated rows and rows without doc_id each give their row; other
+    columns are ignored. An empty table gives an empty result.
+    """
     shared = documents.sparkSession.sparkContext.broadcast((pattern, tuple(ranks.items())))
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -56,7 +62,8 @@ def length_histogram(counts: DataFrame) -> DataFrame:
     The sums run inside blocks of 1024 lengths; only one row per block is summed in one task, and the
     number of blocks depends on the longest document, not on how many there are.
     """
-    hist = counts.where("n_tokens IS NOT NULL").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    # used twice below; one row per length is stored, so that the texts are encoded once
+    hist = cut_lineage(counts.where("n_tokens IS NOT NULL").groupBy("n_tokens").agg(F.count("*").alias("n_docs")))
     hist = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
