@@ -44,6 +44,11 @@ STAGES = [
     ("tokens", tokens),
 ]
 
+#: Bytes of text in one Arrow batch to a Python worker, where the session sets no bound of its own: batches
+#: are held several times over (in the executor's buffers and by the worker), for each running task.
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Language models, suffix sorting and pieces have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -51,8 +56,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each result written below the shared folder and read again."""
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    own = spark.conf.get(_BATCH, None) is None
+    if own:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        for name, stage in STAGES:
+            path = scratch_path(spark, f"pipeline-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        if own:
+            spark.conf.unset(_BATCH)
     return docs
