@@ -2,8 +2,8 @@
 
 ``profile.correlation_matrix`` writes one sum per pair into an aggregate, which suits tens of columns.
 Here every task multiplies its rows, as a matrix shifted by the column means and with gaps as zeros, by
-themselves and by their mask, and only these products travel. This is the one place outside the corpus
-operators where Python workers are used: a hundred thousand sums are no expression for generated code.
+themselves and by their mask, and only these products travel, out of Python workers: a hundred thousand
+sums are no expression for generated code.
 """
 
 from __future__ import annotations
