@@ -7,8 +7,8 @@ value; and the frequency of the most common value comes out of the same shuffle.
 holding many ``count_distinct`` would instead copy every input row once per column.
 
 ``melted_facts``: the same rows for wide tables. Every row becomes one (column, value) record per column,
-counted in one shuffle and folded per column in a second, tiny one, so the plan has at most four scans
-(of different columns) and two aggregates however many columns there are. ``column_facts`` takes this way beyond ``BRANCH_COLUMNS``.
+counted in one shuffle per kind of columns and folded per column in a second, tiny one, so the plan has at most seven
+scans (of different columns) with two aggregates each however many columns there are. ``column_facts`` takes this way beyond ``BRANCH_COLUMNS``.
 
 ``value_counts``: (column, value, n) for string columns, where the counts themselves are needed.
 """
@@ -101,79 +101,82 @@ def _facts_of(df: DataFrame, field: T.StructField, position: int) -> DataFrame:
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+_MOMENTS = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def _melted_kind(dtype: T.DataType) -> str:
     if isinstance(dtype, _INTEGERS):
         return "whole"
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return "real"
+    if isinstance(dtype, _MOMENTS):
+        return dtype.simpleString()
     return "text" if isinstance(dtype, T.StringType) else "other"
 
 
 def _melted(df: DataFrame, kind: str, fields: Sequence[tuple[int, T.StructField]]) -> DataFrame:
-    """(position, k, x, whole, len, code) records of one kind of columns.
+    """The facts of one kind of columns, one row per column, from one shuffle of (position, k) groups.
 
-    k is a text equal exactly when the values are equal. The array under the explode holds bare columns
-    and everything else is computed behind it, once for all columns: the plan stays small.
+    k is equal exactly when the values are equal, and as small as the kind allows: the number or moment itself
+    for those. The array under the explode holds bare columns and everything else is computed behind it, once for
+    all columns: the plan stays small.
     """
     none = {"x": F.lit(None).cast("double"), "whole": F.lit(None).cast("bigint"),
             "len": F.lit(None).cast("int"), "code": F.lit(None).cast("boolean")}
-    c = F.col("v")
+    c, k = F.col("v"), F.col("k")
+    values = [F.col(f"`{f.name}`") for _, f in fields]
+    kept: dict[str, Column] = {}  # travels beside k: name, value of a record, fold of the records of a group
+    folds = {"x": F.max, "len": F.max, "code": F.bool_or}
+    key, of_key = c, {}
     if kind == "whole":
-        values = [F.col(f"`{f.name}`").cast("bigint") for _, f in fields]
-        made = {"k": c.cast("string"), "x": c.cast("double"), "whole": c}
+        values = [v.cast("bigint") for v in values]
+        of_key = {"x": k.cast("double"), "whole": k}
     elif kind == "real":
-        values = [F.col(f"`{f.name}`").cast("double") for _, f in fields]
-        number = F.when(~F.isnan(c), c + F.lit(0.0))  # -0.0 and 0.0 are one value
-        made = {"k": number.cast("string"), "x": number}
+        values = [v.cast("double") for v in values]
+        key, of_key = F.when(~F.isnan(c), c + F.lit(0.0)), {"x": k}  # -0.0 and 0.0 are one value
     elif kind == "text":
-        values = [F.col(f"`{f.name}`") for _, f in fields]
-        made = {"k": counting_key("v", T.StringType()), "len": F.octet_length(c), "code": c.rlike(CODE_REGEX)}
-    else:
+        # a digest hides its text; any other key is looked at once a group
+        long = F.octet_length(c) >= DIGEST_FROM_BYTES
+        key, kept = counting_key("v", T.StringType()), {"len": F.when(long, F.octet_length(c)), "code": F.when(long, c.rlike(CODE_REGEX))}
+        of_key = {"len": F.coalesce("len", F.octet_length(k)), "code": F.coalesce("code", k.rlike(CODE_REGEX))}
+    elif kind == "other":
         values = []
         for _, f in fields:
-            key = counting_key(f.name, f.dataType)
-            # local times repeat when clocks go back
-            text = F.unix_micros(key) if isinstance(f.dataType, T.TimestampType) else key
-            x = key.cast("double") if counts_as_number(f.dataType) else none["x"]
+            text = counting_key(f.name, f.dataType)
+            x = text.cast("double") if counts_as_number(f.dataType) else none["x"]
             values.append(F.struct(text.cast("string").alias("k"), x.alias("x")))
-        made = {"k": c["k"], "x": c["x"]}
+        key, kept = c["k"], {"x": c["x"]}
     places = F.array(*[F.lit(i) for i, _ in fields])
-    rows = df.select(F.posexplode(F.array(*values)).alias("at", "v"))
-    made = {**none, **made}
-    return rows.select(
-        F.element_at(places, F.col("at") + 1).alias("position"),
-        *[made[name].alias(name) for name in ("k", "x", "whole", "len", "code")],
-    )
+    records = df.select(F.posexplode(F.array(*values)).alias("at", "v")).select("at", key.alias("k"), *[v.alias(n) for n, v in kept.items()])
+    groups = records.groupBy("at", "k").agg(F.count(F.lit(1)).alias("n"), *[folds[n](n).alias(n) for n in kept])
+    made = {**none, **{n: F.col(n) for n in kept}, **of_key}
+    groups = groups.select("at", "n", k.isNotNull().alias("present"), *[v.alias(n) for n, v in made.items()])
+    present = F.col("present")
+    return groups.groupBy("at").agg(
+        F.sum("n").alias("row_count"),
+        F.sum(F.when(present, F.col("n"))).alias("non_null"),
+        F.count_if(present).alias("distinct_count"),
+        F.max(F.when(present, F.col("n"))).alias("top_n"),
+        F.min("x").alias("min_value"),
+        F.max("x").alias("max_value"),
+        F.try_subtract(F.max("whole"), F.min("whole")).alias("value_span"),
+        F.bool_and(F.col("x") == F.floor("x")).alias("integer_like"),
+        F.sum(F.when(F.col("code"), F.col("n"))).alias("code_rows"),
+        F.max("len").alias("max_bytes"),
+    ).withColumn("position", F.element_at(places, F.col("at") + 1)).drop("at")
 
 
 def melted_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The rows of ``column_facts`` from one shuffle of (column, value) records; lazy.
+    """The rows of ``column_facts`` from one shuffle of (column, value) groups per kind of columns; lazy.
 
-    Integers, reals, texts and the rest are melted apart, each reading only its own columns.
+    Integers, reals, texts, dates, each kind of time and the rest are melted apart, each reading only its own columns.
     """
     wanted = set(df.columns if columns is None else columns)
     fields = [(i, f) for i, f in enumerate(df.schema.fields) if f.name in wanted]
     kinds: dict[str, list] = {}
     for i, f in fields:
         kinds.setdefault(_melted_kind(f.dataType), []).append((i, f))
-    records = union_all([_melted(df, kind, members) for kind, members in kinds.items()])
-    groups = records.groupBy("position", "k").agg(
-        F.count(F.lit(1)).alias("n"), F.max("x").alias("x"), F.max("whole").alias("whole"),
-        F.max("len").alias("len"), F.bool_or("code").alias("code"),
-    )
-    present = F.col("k").isNotNull()
-    folded = groups.groupBy("position").agg(
-        F.sum("n").alias("row_count"),
-        F.sum(F.when(present, F.col("n"))).alias("non_null"),
-        F.count("k").alias("distinct_count"),
-        F.max(F.when(present, F.col("n"))).alias("top_n"),
-        F.min("x").alias("min_value"),
-        F.max("x").alias("max_value"),
-        F.try_subtract(F.max("whole"), F.min("whole")).alias("value_span"),
-        F.bool_and(F.col("x") == F.floor("x")).alias("integer_like"),
-        F.sum(F.when(F.col("code"), F.col("n"))).alias("code_rows"),
-        F.max("len").alias("max_bytes"),
-    )
+    folded = union_all([_melted(df, kind, members) for kind, members in kinds.items()])
     # one row per column of the schema, so that an empty table has its columns too
     named = df.sparkSession.createDataFrame(
         [(f.name, i, f.dataType.simpleString(), coarse_type(f.dataType), counts_as_number(f.dataType)) for i, f in fields],
