@@ -46,6 +46,16 @@ def test_missing_numbers_stand_above_all_others(spark):
     assert trees.split_statistics(state, level, 2)[0, 0].tolist() == [[1.0, 0.0]]
 
 
+def test_missing_values_and_targets_are_left_out(spark):
+    level = trees.Level(0, np.array([[[0, 1]]]), np.array([[[2.0, 2.0]]]))
+    rows = [([1.0, None], 1.0, [0]), ([None, None], 0.0, [0]), ([3.0, None], None, [0])]
+    state = spark.createDataFrame(rows, "x array<double>, y double, at array<int>").coalesce(1)
+    for classes, moments, left in ((2, [1, 1], [0, 1]), (0, [3, 1, 1], [1, 1, 1])):
+        found = trees.node_ranges(state, level, classes)[0, 0]
+        assert found[: len(moments) + 2].tolist() == [*moments, 1, 3] and np.isnan(found[-2:]).all()
+        assert trees.split_statistics(state, level, classes)[0, 0].tolist() == [left, [0] * len(left)]
+
+
 def test_large_forests_do_not_travel_in_the_plan(spark):
     """The arrays of a forest are data of the tasks, not constants of the expression every row interprets."""
     forest = trees.Trees.empty(40, 10, 2)
