@@ -7,6 +7,7 @@ looked up among the digests of known licence texts; so is each of its lines, for
 from __future__ import annotations
 
 import re
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,19 +106,44 @@ NOTICES = (
     rf"[^\n]*?(?=$|(?i:{_OPENING}))",
 )
 
+#: Every notice holds one of these, in any case.
+SIGNS = ("copyright", "©", "(c)", "all rights reserved")
+
 #: Lines that the SQL of the query leaves out; as ``NOTICES`` on lines that hold only a notice.
 COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 
 
+#: First words of the known texts that lines are looked up by; with more of them every line is normalised.
+HEADS = 1000
+
+
+def _signed(low: Column) -> Column:
+    """Whether a text in lower case can hold a notice at all."""
+    return reduce(Column.__or__, [F.contains(low, F.lit(s)) for s in SIGNS])
+
+
+def _one_spelling(words: Column) -> Column:
+    """Words parted by blanks, a blank at both ends, with equivalent spellings made one."""
+    out = words
+    for a, b in EQUIVALENT:
+        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
+    return F.trim(out)
+
+
 def canonical(text: Column) -> Column:
     """Lower case, without copyright notices and punctuation, blanks and equivalent spellings made one."""
     out = text
     for notice in NOTICES:
         out = F.regexp_replace(out, F.lit(notice), F.lit(""))
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    for a, b in EQUIVALENT:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(out)
+    out = F.when(_signed(F.lower(text)), out).otherwise(text)
+    return _one_spelling(F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}]+", " ")), F.lit(" ")))
+
+
+def head(text: Column) -> Column:
+    """The first word of ``canonical(text)``; where there can be no notice only that word is normalised."""
+    low = F.lower(text)
+    word = _one_spelling(F.concat(F.lit(" "), F.regexp_extract(low, r"[\p{L}\p{N}]+", 0), F.lit(" ")))
+    return F.substring_index(F.when(_signed(low), canonical(text)).otherwise(word), " ", 1)
 
 
 def known_licences(spark: SparkSession, texts=None) -> DataFrame:
@@ -139,16 +165,21 @@ def scan(documents: DataFrame, known: DataFrame) -> DataFrame:
     sorted names whose text equals one of its lines, ``n_notice_lines`` how many lines do. Null, empty
     and all-punctuation texts match nothing and have a null digest. Repeated rows give repeated results
     (their notice lines are those of one text); a null doc_id is passed on; other columns are ignored.
+    Lines are normalised where their first word is that of a known text (up to ``HEADS`` such words).
     Known digests are joined by hash: Spark broadcasts them where they are few, else shuffles.
     """
     names = digests(known)
+    firsts = known.where("licence IS NOT NULL").select(head(F.col("text")).alias("head")).where("head <> ''").distinct()
+    heads = [r["head"] for r in firsts.limit(HEADS + 1).collect()]
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    body = canonical(F.col("text"))
-    whole = rows.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.when(body != "", F.sha2(body, 256)).alias("digest")
+    whole = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), canonical(F.col("text")).alias("body")).select(
+        "doc_id", "text_hash", F.when(F.col("body") != "", F.sha2("body", 256)).alias("digest")
     )
     lines = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.withColumn("body", canonical(F.col("line"))).where("body <> ''")
+    # a line that equals a known text begins with its first word
+    lines = lines.where(head(F.col("line")).isin(heads) if len(heads) <= HEADS else F.lit(True))
+    lines = lines.withColumn("body", canonical(F.col("line")))
+    lines = lines if len(heads) <= HEADS else lines.where("body <> ''")
     hits = lines.select("doc_id", "text_hash", "at", F.sha2("body", 256).alias("digest")).join(names, "digest")
     found = hits.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set("licence")).alias("notices"), F.count_distinct("at").alias("n_notice_lines")
