@@ -76,3 +76,14 @@ def test_a_round_takes_one_pass_per_level(table, monkeypatch):
     monkeypatch.undo()
     whole = trees.boost(df, "y", 3, 1, 2, 0.1, 1)
     assert (wide[0].feature == whole[0].feature).all() and wide[2] == pytest.approx(whole[2])
+
+
+def test_extra_trees_draw_for_open_nodes_only(spark, monkeypatch):
+    rows = [([float(i % 16)], float(i % 16 >= 9 and i % 2)) for i in range(160)]
+    df = spark.createDataFrame(rows, "x array<double>, y double").select(array_to_vector("x").alias("features"), "y")
+    drawn, made = [], np.random.default_rng
+    monkeypatch.setattr(np.random, "default_rng", lambda seed: drawn.append(seed[1:]) or made(seed))
+    grown, _ = trees.grow_extra(df, "y", 2, 3, 4, 1, 7)
+    split = {(t, int(n)) for t in range(3) for n in np.flatnonzero(grown.feature[t] >= 0)}
+    assert set(drawn) == {(t, 0) for t in range(3)} | {(t, 2 * n + c) for t, n in split if n < 7 for c in (1, 2)}
+    assert len(drawn) < 3 * 15
