@@ -46,7 +46,7 @@ STAGES = [
 
 #: Bytes of text in one Arrow batch to a Python worker, where the session sets no bound of its own: batches
 #: are held several times over (in the executor's buffers and by the worker), for each running task.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Language models, suffix sorting and pieces have no SQL form; the stages are tested against brute force.

@@ -36,7 +36,8 @@ RUN = LENGTH - GRAM + 1  # strings that can share one 32-gram
 MANY = 256
 PIECE = 16
 FLUSH = 1 << 20
-CHUNK = 1 << 20
+#: Bytes of text that are hashed at once, which takes about 110 times as much memory, and bytes of segments refined at once.
+CHUNK, REFINED = 1 << 18, 1 << 18
 
 _BYTE = stream(21, 256)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -65,7 +66,7 @@ def _string_hash(h: dict[int, np.ndarray], at: np.ndarray) -> np.ndarray:
 
 
 def _chunks(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(first row, end row, first byte, end byte) of about a megabyte; long texts overlap by 99 bytes."""
+    """(first row, end row, first byte, end byte) of about ``CHUNK`` bytes; long texts overlap by 99 bytes."""
     for lo, hi in slices(offsets, CHUNK):
         a, b = int(offsets[lo]), int(offsets[hi])
         if hi - lo > 1 or b - a <= 2 * CHUNK:
@@ -171,7 +172,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         data, offsets = strings(batch.column("text"))
-        for lo, hi in slices(offsets, 4 * CHUNK):
+        for lo, hi in slices(offsets, 16 * CHUNK):
             packed = [squeeze.compress(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(lo, hi)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), binary(packed)], ["doc_id", "packed"])
 
@@ -309,7 +310,7 @@ def _refine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "start", "body")), strict=True):
-            if n >= FLUSH and row[0] != waiting[-1][0]:
+            if n >= REFINED and row[0] != waiting[-1][0]:
                 yield from settle(waiting)
                 waiting, n = [], 0
             waiting.append(row)
